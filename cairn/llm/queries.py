@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import decontamination, mixing, quality_rules, url_filters
-from cairn.sources.tables import table
+from cairn.llm import decontamination, mixing, quality_rules, url_filters, warc
+from cairn.sources.tables import shared_path, table
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "warc")
+    warc.write_warc(table(spark, sf_dir, "pages"), path)
+    return warc.read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "complete")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +53,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op3_mixing": op3_mixing,
     "op5_decontamination": op5_decontamination,
     "op7_url_filters": op7_url_filters,
@@ -58,6 +65,11 @@ _BLANKS = "(' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 _WORDS = r"regexp_extract_all(coalesce({0}, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLES = {
+    "op1_warc": """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h, coalesce(html, '') AS payload FROM pages),
+b AS (SELECT *, max(page_id) OVER (PARTITION BY payload) AS latest FROM p)
+SELECT page_id, payload_bytes, list_aggregate(list_transform([1, 11, 21, 31], lambda i: translate(upper(to_base(CAST('0x' || h[i:i + 9] AS BIGINT), 32, 8)), '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id < latest THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < latest THEN latest END AS refers_to, true AS complete FROM b""",
     "op3_mixing": rf"""
 WITH sized AS (SELECT doc_id, source, CAST(len({_WORDS.format("text")}) AS BIGINT) AS size FROM documents),
 by_source AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
