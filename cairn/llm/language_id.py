@@ -27,13 +27,15 @@ SAMPLE, CENTROIDS, ROUNDS = 300, 4, 12
 REJECT = 0.5
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
+#: Of the ASCII characters, letters stay and all else becomes a blank.
+PLAIN = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 #: Bytes hashed at once.
 BLOCK = 1 << 20
 
 
 def features(text: str, size: int = SIZE) -> np.ndarray:
-    """Counts of hashed n-grams of one to three bytes over the lower-case text, blanks made one."""
-    raw = np.frombuffer((" " + " ".join(text.lower().split()) + " ").encode("utf-8", "replace"), np.uint8)
+    """Counts of hashed n-grams of one to three bytes over the lower-case text; what isn't a letter is blank."""
+    raw = np.frombuffer(b" " + b" ".join(text.lower().encode("utf-8", "replace").translate(PLAIN).split()) + b" ", np.uint8)
     counts = np.zeros(size, np.float32)
     shift = 32 - (size.bit_length() - 1)
     for at in range(0, len(raw), BLOCK):

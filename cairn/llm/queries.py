@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import decontamination, mixing, quality_rules, url_filters, warc
+from cairn.llm import decontamination, language_id, mixing, quality_rules, toxicity, url_filters, warc
 from cairn.sources.tables import shared_path, table
 
 
@@ -47,6 +47,22 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(captures(pages), listed_hosts(pages))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = language_id.held_out(F.col("doc_id"), 3, 1)
+    model = language_id.fit(docs.where(~out).withColumnRenamed("doc_id", "key"))
+    found = language_id.identify(docs.select("doc_id", "text"), model, keep=["doc_id"])
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("key"), "toxic")
+    out = language_id.held_out(F.col("doc_id"), 4, 2)
+    model = toxicity.fit(docs.where(~out).join(labels, F.col("doc_id") == F.col("key")).select("key", "text", "toxic"))
+    return toxicity.score(docs, model, keep=["doc_id"]).select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_words", "kept")
@@ -57,7 +73,9 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op5_decontamination": op5_decontamination,
     "op7_url_filters": op7_url_filters,
+    "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
+    "op10_toxicity": op10_toxicity,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
