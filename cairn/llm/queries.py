@@ -12,7 +12,7 @@ from cairn.sources.tables import shared_path, table
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "warc")
     warc.write_warc(table(spark, sf_dir, "pages"), path)
-    return warc.read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "complete")
+    return warc.read_warc(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "complete")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

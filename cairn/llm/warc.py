@@ -16,7 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -136,11 +136,11 @@ def write_warc(pages: DataFrame, path: str, least: int = 0, segment: int = SEGME
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = zip(*(b.column(k).to_pylist() for k in ("page_id", "url", "html", "refers_to")), strict=True)
             out: list[str] = []
             size = 0
-            for row in rows:
-                for record in _records_of(*row, segment=segment):
+            columns = [b.column(k) for k in ("page_id", "url", "html", "refers_to")]
+            for i in range(b.num_rows):
+                for record in _records_of(*(c[i].as_py() for c in columns), segment=segment):
                     out.append(record)
                     size += len(record)
                 if size > 4_000_000:
@@ -152,10 +152,15 @@ def write_warc(pages: DataFrame, path: str, least: int = 0, segment: int = SEGME
 
 
 _PARTS = pa.schema([
-    ("record_id", pa.string()), ("record_type", pa.string()), ("refers_to_id", pa.string()), ("url", pa.string()),
-    ("digest", pa.string()), ("origin", pa.string()), ("segment", pa.int64()), ("total", pa.int64()), ("sound", pa.bool_()), ("block", pa.binary()),
+    ("record_id", pa.string()), ("record_type", pa.string()), ("refers_to_id", pa.string()), ("url", pa.string()), ("digest", pa.string()),
+    ("origin", pa.string()), ("segment", pa.int64()), ("total", pa.int64()), ("sound", pa.bool_()), ("block", pa.binary()),
 ])
 _PARTS_DDL = "record_id string, record_type string, refers_to_id string, url string, digest string, origin string, segment long, total long, sound boolean, block binary"
+_NAMED = ["record_id", "record_type", "refers_to_id", "url", "digest"]
+_WHOLE = pa.schema([*(_PARTS.field(k) for k in _NAMED), ("complete", pa.bool_()), ("bytes", pa.int64()), ("found", pa.string()), ("payload", pa.binary())])
+_WHOLE_DDL = "record_id string, record_type string, refers_to_id string, url string, digest string, complete boolean, bytes long, found string, payload binary"
+#: Bytes of records that a task turns into one batch.
+SLICE = 4_000_000
 
 
 def _parse(piece: bytes) -> dict | None:
@@ -177,74 +182,101 @@ def _parse(piece: bytes) -> dict | None:
     }
 
 
-def read_parts(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record of the archives, segments not yet joined."""
-    pieces = spark.read.option("lineSep", VERSION).text(path).select(F.col("value").cast("binary").alias("value"))
+def _whole(record: dict, keep: bool) -> dict:
+    """A record's figures: its payload's size and digest, and whether all is as declared."""
+    payload = payload_of(record["block"]) if record["record_type"] == "response" and record["sound"] else None
+    found = None if payload is None else digest32(payload)
+    complete = record["sound"] and (record["record_type"] != "response" or (payload is not None and record["digest"] in (None, found)))
+    return {k: record[k] for k in _NAMED} | {"complete": complete, "bytes": None if payload is None else len(payload), "found": found, "payload": payload if keep else None}
+
+
+def _in_slices(batches: Iterator[pa.RecordBatch], make: Callable[[pa.RecordBatch, int], tuple[dict | None, int]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        out, size = [], 0
+        for i in range(b.num_rows):
+            row, n = make(b, i)
+            if row is not None:
+                out.append(row)
+                size += n
+            if size > SLICE:
+                yield pa.RecordBatch.from_pylist(out, schema)
+                out, size = [], 0
+        yield pa.RecordBatch.from_pylist(out, schema)
+
+
+def _pieces(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("lineSep", VERSION).text(path).select(F.col("value").cast("binary").alias("value"))
+
+
+def read_segments(spark: SparkSession, path: str) -> DataFrame:
+    """One row per segment of the records that the archives hold in several."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_pylist([x for v in b.column(0).to_pylist() if v and (x := _parse(v))], _PARTS)
+        def make(b: pa.RecordBatch, i: int) -> tuple[dict | None, int]:
+            got = _parse(b.column(0)[i].as_py())
+            return (got, len(got["block"])) if got and got["origin"] is not None else (None, 0)
+
+        return _in_slices(batches, make, _PARTS)
+
+    return _pieces(spark, path).where(F.expr("instr(decode(value, 'ISO-8859-1'), 'Segment-Origin-ID:') > 0")).mapInArrow(parse, _PARTS_DDL)
 
-    return pieces.mapInArrow(parse, _PARTS_DDL)
 
+def read_whole(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """One row per record that the archives hold in one piece."""
 
-_READ_DDL = "record_id string, record_type string, refers_to_id string, url string, digest string, complete boolean, payload binary"
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def make(b: pa.RecordBatch, i: int) -> tuple[dict | None, int]:
+            got = _parse(b.column(0)[i].as_py())
+            return (_whole(got, payloads), len(got["block"])) if got and got["origin"] is None else (None, 0)
+
+        return _in_slices(batches, make, _WHOLE)
+
+    return _pieces(spark, path).mapInArrow(parse, _WHOLE_DDL)
 
 
-def reassemble(parts: DataFrame) -> DataFrame:
-    """``record_id, record_type, refers_to_id, url, digest, complete, payload`` per whole record.
+def reassemble(segments: DataFrame, payloads: bool = True) -> DataFrame:
+    """A row per record that was cut: the segments of one origin in order, checked and decoded.
 
     ``complete`` is false, and the payload null, if a segment is missing or doubled, a length
     differs from what was declared, or the transfer coding is broken. Segments without a first
     one make a row of type ``continuation``.
     """
-    whole = parts.where("origin is null").select("record_id", "record_type", "refers_to_id", "url", "digest", "sound", "block")
-    cut = parts.where("origin is not null").groupBy("origin").agg(
+    cut = segments.groupBy("origin").agg(
         F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("segments"),
-        *[F.min_by(c, "segment").alias(c) for c in ("record_id", "record_type", "refers_to_id", "url", "digest")],
-        F.max("total").alias("total"), F.bool_and("sound").alias("sound"),
+        *[F.min_by(c, "segment").alias(c) for c in _NAMED], F.max("total").alias("total"), F.bool_and("sound").alias("sound"),
     )
     numbers = F.col("segments")["segment"]
-    block = F.aggregate(F.col("segments")["block"], F.lit(b""), lambda a, x: F.concat(a, x))
-    joined = cut.withColumn("block", block).select(
-        "record_id", "record_type", "refers_to_id", "url", "digest",
-        (F.col("sound") & (numbers == F.sequence(F.lit(1).cast("long"), F.size(numbers).cast("long"))) & F.coalesce(F.octet_length("block") == F.col("total"), F.lit(False))).alias("sound"), "block",
-    )
+    joined = cut.withColumn("block", F.aggregate(F.col("segments")["block"], F.lit(b""), lambda a, x: F.concat(a, x)))
+    in_order = numbers == F.sequence(F.lit(1).cast("long"), F.size(numbers).cast("long"))
+    as_long = F.coalesce(F.octet_length("block") == F.col("total"), F.lit(False))
+    joined = joined.select(*_NAMED, (F.col("sound") & in_order & as_long).alias("sound"), "block")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            kinds, sound, blocks = (b.column(k).to_pylist() for k in ("record_type", "sound", "block"))
-            got = [payload_of(x) if kind == "response" and ok else None for kind, ok, x in zip(kinds, sound, blocks, strict=True)]
-            done = [ok and (p is not None or kind != "response") for kind, ok, p in zip(kinds, sound, got, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), pa.array(done, pa.bool_()), pa.array(got, pa.binary())], [f.split()[0] for f in _READ_DDL.split(", ")])
+        def make(b: pa.RecordBatch, i: int) -> tuple[dict, int]:
+            got = {k: b.column(k)[i].as_py() for k in (*_NAMED, "sound", "block")}
+            return _whole(got, payloads), len(got["block"])
 
-    return whole.unionByName(joined).mapInArrow(decode, _READ_DDL)
+        return _in_slices(batches, make, _WHOLE)
 
+    return joined.mapInArrow(decode, _WHOLE_DDL)
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
+
+def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """The archives' responses and revisits as pages.
 
     ``page_id, url, record_type, refers_to, payload_bytes, payload_digest, complete, payload``; a
     revisit has no payload of its own but the figures of the one it refers to. A response's
-    digest is taken from its payload again.
+    figures are taken from its payload again, which is left null unless ``payloads``.
     """
     page = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^<urn:page:(-?[0-9]+)>$', 1) as bigint)")
-    records = reassemble(read_parts(spark, path)).select(page("record_id").alias("page_id"), "url", "record_type", page("refers_to_id").alias("refers_to"), "digest", "complete", "payload")
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            payloads = b.column("payload").to_pylist()
-            sizes = pa.array([None if p is None else len(p) for p in payloads], pa.int64())
-            found = pa.array([None if p is None else digest32(p) for p in payloads], pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns, sizes, found], [*b.schema.names, "bytes", "found"])
-
-    responses = records.where("record_type = 'response'").mapInArrow(measure, "page_id long, url string, record_type string, refers_to long, digest string, complete boolean, payload binary, bytes long, found string")
-    responses = responses.withColumn("complete", F.col("complete") & (F.col("found") == F.col("digest")))
+    records = read_whole(spark, path, payloads).unionByName(reassemble(read_segments(spark, path), payloads))
+    records = records.select(page("record_id").alias("page_id"), "url", "record_type", page("refers_to_id").alias("refers_to"), "digest", "complete", "bytes", "found", "payload")
     out = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "complete", "payload"]
+    responses = records.where("record_type = 'response'")
     answers = responses.withColumnsRenamed({"bytes": "payload_bytes", "found": "payload_digest"}).select(*out)
-    revisits = records.where("record_type = 'revisit'").drop("payload")
     # a revisit's origin is named by id and digest, for an id can be repeated
-    origins = responses.groupBy(F.col("page_id").alias("_id"), F.col("found").alias("_digest")).agg(F.max("bytes").alias("payload_bytes"))
+    origins = responses.where("complete").groupBy(F.col("page_id").alias("_id"), F.col("found").alias("_digest")).agg(F.max("bytes").alias("payload_bytes"))
+    revisits = records.where("record_type = 'revisit'").drop("bytes", "found", "payload")
     found = revisits.join(origins, (F.col("refers_to") == F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
     found = found.withColumns({"complete": F.col("complete") & F.col("payload_bytes").isNotNull(), "payload_digest": F.col("digest"), "payload": F.lit(None).cast("binary")})
     return answers.unionByName(found.select(*out))
