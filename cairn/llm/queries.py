@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bagminhash, decontamination, language_id, mixing, quality_rules, substring_dedup, toxicity, url_filters, warc
+from cairn.llm import bagminhash, decontamination, language_id, mixing, quality_rules, substring_dedup, suffix_dedup, toxicity, url_filters, warc
 from cairn.sources.tables import shared_path, table
 
 
@@ -51,6 +51,11 @@ def captures(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") * 37 % 366).cast("int")).alias("fetched"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filters.filter_urls(captures(pages), listed_hosts(pages))
@@ -67,9 +72,9 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("key"), "toxic")
-    out = language_id.held_out(F.col("doc_id"), 4, 2)
-    model = toxicity.fit(docs.where(~out).join(labels, F.col("doc_id") == F.col("key")).select("key", "text", "toxic"))
-    return toxicity.score(docs, model, keep=["doc_id"]).select("doc_id", out.alias("held_out"), "score", "predicted")
+    out = lambda c: language_id.held_out(F.col(c), 4, 2)
+    model = toxicity.fit(docs.withColumnRenamed("doc_id", "key"), labels.where(~out("key")))
+    return toxicity.score(docs, model, keep=["doc_id"]).select("doc_id", out("doc_id").alias("held_out"), "score", "predicted")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +88,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_bagminhash": op4_bagminhash,
     "op5_decontamination": op5_decontamination,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_url_filters": op7_url_filters,
     "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,

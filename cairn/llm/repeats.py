@@ -9,7 +9,8 @@ pick equal seeds. Consecutive windows that pick one seed are a bundle, and bundl
 2. bundles of the rest are named by the whole text they span; of equal ones the least document counts,
    and every window of the others is repeated;
 3. where a seed has bundles of different text, the least document of each shows its windows, and these
-   are grouped by seed and content.
+   are grouped by the pair of names that their first and last ``seed`` symbols have: the step from
+   names of one length to names of a greater one, as in prefix doubling.
 
 Groupings take minima per task before they shuffle. Joins back are between written tables, so that
 Spark sees both sides' sizes and can split a seed that a third of all documents share.
@@ -33,7 +34,7 @@ Symbols = Callable[[str], np.ndarray]
 
 @dataclass(frozen=True)
 class Shape:
-    """Window length, seed length, and length of the pieces whose least hash places the seed.
+    """Window length, seed length (half of it at least), and length of the pieces whose least hash places the seed.
 
     The least of the window's pieces of ``piece`` symbols, the first of equals, is at x; the seed starts
     at its distance from the window's start modulo the number of places that a seed has.
@@ -56,6 +57,7 @@ class Bundles:
 
 _NONE = Bundles(*[np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64)])
 _PLACE = 24
+_FOLD = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def _seed_starts(symbols: np.ndarray, shape: Shape) -> np.ndarray:
@@ -122,8 +124,8 @@ def _bundle_rows(docs: DataFrame, symbols: Symbols, shape: Shape) -> DataFrame:
         if not text or len(text.encode("utf-8", "replace")) < shape.length:
             return None
         found = bundles(symbols(text), shape)
-        both = np.unique(np.column_stack([found.seed, found.text]), axis=0)
-        return [_signed(both[:, 0]), _signed(both[:, 1]), pa.array(np.full(len(both), doc, np.int64))]
+        at = np.unique(found.seed ^ (found.text * _FOLD), return_index=True)[1]
+        return [_signed(found.seed[at]), _signed(found.text[at]), pa.array(np.full(len(at), doc, np.int64))]
 
     return docs.mapInArrow(_by_document(run, ["seed", "body", "doc"]), "seed long, body long, doc long")
 
@@ -136,11 +138,12 @@ def sharing(docs: DataFrame, symbols: Symbols, shape: Shape) -> DataFrame:
 
 
 def marked_windows(docs: DataFrame, symbols: Symbols, shape: Shape) -> DataFrame:
-    """``docs`` (doc_id, text; no null ids) with ``marks``: bundles with repeated windows and which, as bits.
+    """``docs`` (no null ids) with ``marks``: bundles with repeated windows and which, as bits.
 
     A mark names a bundle by its content, so it holds wherever a document of this id has that bundle.
     """
-    rows = _bundle_rows(docs, symbols, shape)
+    texts = docs.select("doc_id", "text")
+    rows = _bundle_rows(texts, symbols, shape)
     spread = stored(rows.groupBy("seed").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("seed", "lo"), "seeds")
     shared = stored(rows.join(spread, "seed"), "shared")
     variants = stored(shared.groupBy("seed", "body").agg(F.min("doc").alias("first"), F.min("lo").alias("lo")), "variants")
@@ -151,10 +154,10 @@ def marked_windows(docs: DataFrame, symbols: Symbols, shape: Shape) -> DataFrame
     several = variants.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     mixed = variants.join(several, "seed").select(F.col("first").alias("doc_id"), "seed", "body")
     asked = mixed.groupBy("doc_id").agg(F.collect_list(F.struct("seed", "body")).alias("asked"))
-    windows = docs.join(asked, "doc_id").mapInArrow(_shown(symbols, shape), "seed long, window long, doc long, body long, at int")
+    windows = texts.join(asked, "doc_id").mapInArrow(_shown(symbols, shape), "head long, tail long, doc long, seed long, body long, at int")
     windows = stored(windows, "windows")
-    first = windows.groupBy("seed", "window").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("seed", "window", "first")
-    part = windows.join(stored(first, "firsts"), ["seed", "window"]).where("doc > first")
+    first = windows.groupBy("head", "tail").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("head", "tail", "first")
+    part = windows.join(stored(first, "firsts"), ["head", "tail"]).where("doc > first")
     part = part.groupBy("doc", "seed", "body").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("bits"))
     marks = whole.unionAll(part).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("seed", "body", "bits")).alias("marks"))
     return docs.join(marks, "doc_id", "left")
@@ -171,13 +174,13 @@ def _shown(symbols: Symbols, shape: Shape) -> Callable:
                 keep = _matching(found, wanted)[0]
                 if not len(keep):
                     continue
-                whole = window_hashes(s, shape.length, 23)
+                names = window_hashes(s, shape.seed, 22)
                 count = found.count[keep]
                 at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 start = np.repeat(found.first[keep], count) + at
                 yield pa.RecordBatch.from_arrays(
-                    [_signed(np.repeat(found.seed[keep], count)), _signed(whole[start]), pa.array(np.full(len(at), doc, np.int64)), _signed(np.repeat(found.text[keep], count)), pa.array(at.astype(np.int32))],
-                    ["seed", "window", "doc", "body", "at"],
+                    [_signed(names[start]), _signed(names[start + shape.length - shape.seed]), pa.array(np.full(len(at), doc, np.int64)), _signed(np.repeat(found.seed[keep], count)), _signed(np.repeat(found.text[keep], count)), pa.array(at.astype(np.int32))],
+                    ["head", "tail", "doc", "seed", "body", "at"],
                 )
 
     return go
@@ -187,7 +190,7 @@ def _matching(found: Bundles, wanted: pa.StructArray) -> tuple[np.ndarray, np.nd
     """Which bundles are among the wanted (seed, body), and which of the wanted each one is."""
     seeds = wanted.field("seed").to_numpy(zero_copy_only=False).view(np.uint64)
     bodies = wanted.field("body").to_numpy(zero_copy_only=False).view(np.uint64)
-    ours, theirs = found.seed ^ (found.text * np.uint64(0xC2B2AE3D27D4EB4F)), seeds ^ (bodies * np.uint64(0xC2B2AE3D27D4EB4F))
+    ours, theirs = found.seed ^ (found.text * _FOLD), seeds ^ (bodies * _FOLD)
     order = np.argsort(theirs)
     if not len(order) or not len(ours):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)

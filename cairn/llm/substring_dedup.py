@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cairn.llm import repeats
 from cairn.llm.hashing import words_of
@@ -25,7 +26,7 @@ WINDOW = 50
 
 
 def shape(window: int = WINDOW) -> repeats.Shape:
-    return repeats.Shape(window, max(1, window // 2), max(1, window // 2))
+    return repeats.Shape(window, (window + 1) // 2, (window + 1) // 2)
 
 
 def _symbols(text: str) -> np.ndarray:
@@ -39,32 +40,37 @@ def _judged(docs: DataFrame, window: int) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``doc_id, n_words, n_removed, spans, kept_text`` per row of ``docs``.
+    """``docs`` without ``text`` but with ``n_words, n_removed, spans, kept_text``.
 
     A word goes if it lies in a window of ``window`` words that also starts in a document with a smaller
     doc_id, judged on the input. ``spans`` are the removed runs (start, length in words) and
     ``kept_text`` the kept words joined by blanks. A null text has no words. A row with a null doc_id
     is neither judged nor a source; rows of one doc_id count as one document and each loses the
-    same windows. Ties can't occur between different ids. Columns but these two are left out.
+    same windows. Other columns pass through; those
+    with the new names are replaced.
     """
-    fields = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))), ("kept_text", pa.string())])
+    docs = docs.drop("n_words", "n_removed", "spans", "kept_text", "marks")
+    others = [f for f in docs.schema if f.name != "text"]
+    names = [f.name for f in others]
+    span = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for i, doc in enumerate(b.column("doc_id").to_pylist()):
-                raw, starts, ends, words = words_of(b.column("text")[i].as_py())
-                marks = b.column("marks")[i].values if b.column("marks")[i].is_valid else None
-                gone = repeats.covered(words, marks, shape(window))
+            for text, held in zip(b.column("text"), b.column("marks"), strict=True):
+                raw, starts, ends, words = words_of(text.as_py())
+                gone = repeats.covered(words, held.values if held.is_valid else None, shape(window))
                 edge = np.diff(np.concatenate(([False], gone, [False])).astype(np.int8))
                 spans = [{"start": s, "length": e - s} for s, e in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True)]
-                data, keep = raw.tobytes(), np.flatnonzero(~gone).tolist()
-                text = b" ".join([data[starts[k] : ends[k]] for k in keep]).decode()
-                out.append((doc, len(words), int(gone.sum()), spans, text))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), fields, strict=True)], schema=fields) if out else pa.RecordBatch.from_pylist([], fields)
-
-    ddl = "doc_id long, n_words long, n_removed long, spans array<struct<start:int,length:int>>, kept_text string"
-    return _judged(docs.select("doc_id", "text"), window).mapInArrow(cut, ddl)
+                data = raw.tobytes()
+                kept = b" ".join([data[starts[k] : ends[k]] for k in np.flatnonzero(~gone).tolist()]).decode()
+                out.append((len(words), int(gone.sum()), spans, kept))
+            n, removed, spans, kept = zip(*out, strict=True) if out else ((), (), (), ())
+            found = [pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, span), pa.array(kept, pa.string())]
+            yield pa.RecordBatch.from_arrays([*map(b.column, names), *found], [*names, "n_words", "n_removed", "spans", "kept_text"])
+
+    schema = StructType([*others, *StructType.fromDDL("n_words long, n_removed long, spans array<struct<start:int,length:int>>, kept_text string").fields])
+    return _judged(docs, window).mapInArrow(cut, schema)
 
 
 def longest_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -114,12 +114,15 @@ class Distance:
         return float(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
 
 
-def _sampled(labelled: DataFrame, sample: int) -> DataFrame:
-    """Rows ``(text, toxic, part)``: of each class the ``sample`` rows that hash least, in two halves."""
-    rows = labelled.where("text is not null and toxic in (0, 1)").select("text", F.col("toxic").cast("int").alias("toxic"), F.xxhash64("key", "text").alias("_h"))
-    nth = F.row_number().over(W.partitionBy("toxic").orderBy("_h"))
-    picked = rows.select("toxic", "_h").distinct().withColumn("_n", nth).where(F.col("_n") <= sample)
-    return rows.join(F.broadcast(picked), ["toxic", "_h"]).select("text", "toxic", (F.col("_n") % 3 == 0).cast("int").alias("part"))
+def _sampled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
+    """Rows ``(text, toxic, part)``: of each class the ``sample`` keys that hash least, in two parts.
+
+    Keys are picked from the labels alone, so that only the picked rows' texts are moved.
+    """
+    sound = labels.where("key is not null and toxic in (0, 1)").select("key", F.col("toxic").cast("int").alias("toxic")).distinct()
+    nth = F.row_number().over(W.partitionBy("toxic").orderBy(F.xxhash64("key"), "key"))
+    picked = sound.withColumn("_n", nth).where(F.col("_n") <= sample).select("key", "toxic", (F.col("_n") % 3 == 0).cast("int").alias("part"))
+    return docs.where("text is not null").join(F.broadcast(picked), "key").select("text", "toxic", "part")
 
 
 def _dictionaries(sample: DataFrame) -> tuple[bytes, bytes]:
@@ -179,13 +182,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
     return (*map(float, slopes), float(w[-1] - slopes @ mean))
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE) -> Distance:
-    """Learns from rows ``(key, text, toxic)``, of each class the ``sample`` whose keys hash least.
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Distance:
+    """Learns from ``(key, text)`` and ``(key, toxic)``, of each class the ``sample`` keys that hash least.
 
     Null texts and labels other than 0 and 1 are left out. Without rows of both classes every
     score is the share of toxic rows, 0 if there are none.
     """
-    rows = _sampled(labelled, sample)
+    rows = _sampled(docs, labels, sample)
     model = Distance(*_dictionaries(rows))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +199,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Distance:
     got = sorted((r["toxic"], r["x"]) for r in rows.where("part = 1").select("toxic", "text").mapInArrow(measure, "toxic int, x array<double>").collect())
     y = np.array([t for t, _ in got], float)
     # the sample holds classes evenly; the calibration weighs them as all labelled rows do
-    shares = {r["toxic"]: r["n"] for r in labelled.where("text is not null and toxic in (0, 1)").groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    shares = {r["toxic"]: r["n"] for r in labels.where("key is not null and toxic in (0, 1)").groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(shares.values())
     rate = shares.get(1, 0) / total if total else 0.0
     if len(set(y)) < 2:
