@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from cairn.plans import ledger, storage  # noqa: F401  these register their queries
+from cairn.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
