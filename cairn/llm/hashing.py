@@ -67,11 +67,11 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         # as many words as fit into a piece; a longer word is hashed by its pieces
         j = int(np.searchsorted(ends, first + PIECE - 1, "right"))
         if j <= k:
-            word, h = raw[first : int(ends[k])], np.uint64(0)
+            word, h = raw[first : int(ends[k])], np.zeros(1, np.uint64)
             for at in range(0, len(word), PIECE):
                 part = word[at : at + PIECE]
-                h = mix(np.array([h + np.sum(_OF_BYTE[part] * _POWERS[: len(part)], dtype=np.uint64)]), 3)[0]
-            out[k] = h
+                h = mix(h + np.sum(_OF_BYTE[part] * _POWERS[: len(part)], dtype=np.uint64), 3)
+            out[k] = h[0]
             k += 1
             continue
         part = raw[first : int(ends[j - 1])]
