@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairn.plans import chain, ledger, storage, streams  # noqa: F401  these register their queries
+from cairn.plans import chain, ledger, more, storage, streams  # noqa: F401  these register their queries
 from cairn.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
