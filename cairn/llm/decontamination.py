@@ -74,13 +74,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     docs = docs.drop("n_words", "n_hit", "n_items", "item_ids", "spans")
     windows = benchmark_windows(benchmark, window)
     counts = {r["length"]: r["n"] for r in windows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `window` rows
-    keyed = docs.withColumns({"_w": normal_words(F.col("text")), "_key": F.xxhash64("text")})
+    keyed = docs.withColumn("_key", F.xxhash64("text"))
     if counts:
         hits = _hits(docs, windows, sorted(counts), sum(counts.values()) <= broadcast_windows)
         keyed = keyed.join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_key").eqNullSafe(F.col("_text")), "left").drop("_id", "_text")
     else:
         keyed = keyed.withColumn("_hits", F.lit(None).cast("array<struct<start:int,length:int,window:string,items:array<bigint>>>"))
     none = F.array().cast("array<struct<start:int,length:int,window:string,items:array<bigint>>>")
+    keyed = keyed.withColumn("_w", normal_words(F.col("text")))  # after the join: words take more room than texts
     true = keyed.withColumn("_hits", F.filter(F.coalesce("_hits", none), lambda x: _window_text(F.col("_w"), x["start"], x["length"]) == x["window"]))
     covered = F.array_distinct(F.flatten(F.transform(F.col("_hits"), lambda x: F.sequence(x["start"], x["start"] + x["length"] - 1))))
     return true.select(
