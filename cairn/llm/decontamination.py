@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.words import ascii_lower
+from cairn.llm.words import ascii_lower, settled
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
@@ -84,13 +84,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     keyed = keyed.withColumn("_w", normal_words(F.col("text")))  # after the join: words take more room than texts
     true = keyed.withColumn("_hits", F.filter(F.coalesce("_hits", none), lambda x: _window_text(F.col("_w"), x["start"], x["length"]) == x["window"]))
     covered = F.array_distinct(F.flatten(F.transform(F.col("_hits"), lambda x: F.sequence(x["start"], x["start"] + x["length"] - 1))))
-    return true.select(
-        *docs.columns,
-        F.size("_w").cast("long").alias("n_words"),
-        F.size(covered).cast("long").alias("n_hit"),
-        F.array_distinct(F.flatten(F.col("_hits")["items"])).alias("item_ids"),
-        F.array_sort(F.transform(F.col("_hits"), lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length")))).alias("spans"),
-    ).withColumn("n_items", F.size("item_ids").cast("long"))
+    figures = settled(true, {
+        "n_words": F.size("_w").cast("long"),
+        "n_hit": F.size(covered).cast("long"),
+        "item_ids": F.array_distinct(F.flatten(F.col("_hits")["items"])),
+        "spans": F.array_sort(F.transform(F.col("_hits"), lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length")))),
+    })
+    return figures.select(*docs.columns, "n_words", "n_hit", "item_ids", "spans").withColumn("n_items", F.size("item_ids").cast("long"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep_share: float = KEEP_SHARE) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Characters between words: blank, tab, line feed, vertical tab, form feed, carriage return.
@@ -25,3 +25,14 @@ def count_words(text: Column) -> Column:
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case, all else unchanged."""
     return F.translate(text, UPPER, UPPER.lower())
+
+
+def settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with columns that later filters don't compute again.
+
+    Spark moves a filter below the projection whose columns it reads by repeating their expressions, at
+    worst once per array element. Nothing is moved below a generator, so the columns come out of
+    one, over an array of one element.
+    """
+    one = F.explode(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))).alias("_one")
+    return df.select("*", one).select(*df.columns, *[F.col(f"_one.{k}").alias(k) for k in columns])
