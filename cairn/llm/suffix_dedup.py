@@ -1,4 +1,12 @@
-"""Suffix dedup: removes bytes of strings that start in an earlier document as well."""
+"""Suffix dedup: removes bytes of strings that start in an earlier document as well.
+
+Distributed prefix doubling over names. Positions chosen by content get the name of the 28 bytes from
+there; positions whose name no other document has drop out, as unique suffixes do. Of the rest, the pair of
+the names at a position and at 22 bytes further names 50 bytes, past the threshold, where doubling
+ends. Names are 64-bit hashes of the bytes and not ranks of a global sort: ranking every position
+would shuffle over 16 bytes for each byte of text and round (see the README). Passages that copies
+share are judged once, by :mod:`cairn.llm.repeats`.
+"""
 
 from __future__ import annotations
 
@@ -28,7 +36,14 @@ def _symbols(text: str) -> np.ndarray:
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, spans, kept`` per row of ``docs``."""
+    """``doc_id, n_bytes, n_removed, spans, kept`` per row of ``docs``.
+
+    A byte of the UTF-8 text goes if it lies in ``length`` bytes that also start in a document with a
+    smaller doc_id, judged on the input; matches never cross documents. ``spans`` are the maximal removed
+    runs and ``kept`` the other bytes, which may cut a character. A null text has no bytes. A row with a
+    null doc_id is neither judged nor a source; rows of one doc_id count as one document. Columns but
+    ``doc_id`` and ``text`` are left out.
+    """
     marked = repeats.marked_windows(docs.where("doc_id is not null").select("doc_id", "text"), _symbols, shape(length))
     marked = marked.unionByName(docs.where("doc_id is null").select("doc_id", "text"), allowMissingColumns=True)
     fields = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))), ("kept", pa.binary())])
