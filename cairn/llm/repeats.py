@@ -57,6 +57,8 @@ class Bundles:
 
 _NONE = Bundles(*[np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64)])
 _PLACE = 24
+#: Windows in a bundle, at most: they are told apart by the bits of a long.
+BITS = 63
 _FOLD = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -86,7 +88,8 @@ def bundles(symbols: np.ndarray, shape: Shape) -> Bundles:
     if n <= 0:
         return _NONE
     at = _seed_starts(symbols, shape)
-    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    part = (at - np.arange(n)) // BITS
+    first = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (part[1:] != part[:-1]))))
     count = np.diff(np.append(first, n))
     seed = window_hashes(symbols, shape.seed, 22)[at[first]]
     # the text of a bundle, from its first and last window and the number of windows
