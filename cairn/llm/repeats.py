@@ -8,16 +8,18 @@ pick equal seeds. Consecutive windows that pick one seed are a bundle, and bundl
 1. seeds that occur in one document alone are dropped, with all their windows;
 2. bundles of the rest are named by the whole text they span; of equal ones the least document counts,
    and every window of the others is repeated;
-3. where a seed has bundles of different text, the least document of each shows its windows, and these
-   are grouped by the pair of names that their first and last ``seed`` symbols have: the step from
-   names of one length to names of a greater one, as in prefix doubling.
+3. where a seed has bundles of different text, the least document of each shows its windows, named by
+   the pair of names that their first and last ``seed`` symbols have: the step from names of one length
+   to names of a greater one, as in prefix doubling. A few bundles of a seed meet as they are; the
+   windows of many are grouped by name.
 
-Groupings take minima per task before they shuffle. Joins back are between written tables, so that
+Documents with equal texts are settled first. Groupings take minima per task before they shuffle. Joins back are between written tables, so that
 Spark sees both sides' sizes and can split a seed that a third of all documents share.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.hashing import PIECE, window_hashes
+from cairn.llm.hashing import _INVERSES, _POWERS, PIECE, mix
 from cairn.sources.tables import stored
 
 Symbols = Callable[[str], np.ndarray]
@@ -59,43 +61,69 @@ _NONE = Bundles(*[np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uin
 _PLACE = 24
 #: Windows in a bundle, at most: they are told apart by the bits of a long.
 BITS = 63
+#: Different bundles of one seed that a task may compare; beyond, Spark groups them by window.
+TOGETHER = 256
 _FOLD = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def _seed_starts(symbols: np.ndarray, shape: Shape) -> np.ndarray:
+def _sums(symbols: np.ndarray) -> np.ndarray:
+    sums = np.zeros(len(symbols) + 1, np.uint64)
+    np.cumsum(symbols * _POWERS[: len(symbols)], out=sums[1:])
+    return sums
+
+
+def _names(sums: np.ndarray, at: np.ndarray, length: int, salt: int) -> np.ndarray:
+    """Hashes of the ``length`` symbols from each of ``at``."""
+    return mix((sums[at + length] - sums[at]) * _INVERSES[at], salt)
+
+
+def _window_names(sums: np.ndarray, at: np.ndarray, shape: Shape) -> np.ndarray:
+    """Names of the windows from each of ``at``, of the pair of names of their first and last symbols."""
+    return mix(_names(sums, at, shape.seed, 22), 23) ^ _names(sums, at + shape.length - shape.seed, shape.seed, 22)
+
+
+def _seed_starts(sums: np.ndarray, shape: Shape) -> np.ndarray:
     """The start of each window's seed, by window."""
-    pieces = window_hashes(symbols, shape.piece, 21)
-    span = shape.length - shape.piece + 1
-    n = len(symbols) - shape.length + 1
-    out = np.empty(n, np.int64)
+    n = len(sums) - shape.length
+    span, places = shape.length - shape.piece + 1, shape.length - shape.seed + 1
+    pieces = (sums[shape.piece :] - sums[: -shape.piece]) * _INVERSES[: len(sums) - shape.piece]
     mask = np.uint64((1 << _PLACE) - 1)
-    for at in range(0, n, PIECE):
-        m = min(PIECE, n - at)
-        part = pieces[at : at + m + span - 1]
-        least = (part & ~mask) | np.arange(len(part), dtype=np.uint64)
-        width = 1
-        while width * 2 <= span:
-            least = np.minimum(least[:-width], least[width:])
-            width *= 2
-        least = np.minimum(least[:m], least[span - width : span - width + m])
-        out[at : at + m] = (least & mask).astype(np.int64) + at
+    least = (pieces & ~mask) | np.arange(len(pieces), dtype=np.uint64)
+    width = 1
+    while width * 2 <= span:
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    least = np.minimum(least[:n], least[span - width : span - width + n])
     start = np.arange(n)
-    return start + (out - start) % (shape.length - shape.seed + 1)
+    return start + ((least & mask).astype(np.int64) - start) % places
+
+
+def _in_pieces(symbols: np.ndarray, shape: Shape) -> Iterator[tuple[int, np.ndarray, Bundles]]:
+    """A long text in pieces that share no window: where each starts, its sums and bundles.
+
+    Where a piece ends a bundle may be cut, which changes nothing but that its windows are compared one by one.
+    """
+    step = PIECE - shape.length
+    places = shape.length - shape.seed + 1
+    for begin in range(0, len(symbols) - shape.length + 1, step):
+        sums = _sums(symbols[begin : begin + step + shape.length - 1])
+        at = _seed_starts(sums, shape)
+        new = at[1:] != at[:-1]
+        if places > BITS:
+            part = (at - np.arange(len(at))) // BITS
+            new |= part[1:] != part[:-1]
+        first = np.flatnonzero(np.concatenate(([True], new)))
+        count = np.diff(np.append(first, len(at)))
+        # the text of a bundle, from its first and last window and the number of windows
+        last = _window_names(sums, first + count - 1, shape)
+        text = _window_names(sums, first, shape) ^ (last * np.uint64(0x9FB21C651E98DF25)) ^ (count.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        yield begin, sums, Bundles(first, count, _names(sums, at[first], shape.seed, 22), text)
 
 
 def bundles(symbols: np.ndarray, shape: Shape) -> Bundles:
-    n = len(symbols) - shape.length + 1
-    if n <= 0:
-        return _NONE
-    at = _seed_starts(symbols, shape)
-    part = (at - np.arange(n)) // BITS
-    first = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (part[1:] != part[:-1]))))
-    count = np.diff(np.append(first, n))
-    seed = window_hashes(symbols, shape.seed, 22)[at[first]]
-    # the text of a bundle, from its first and last window and the number of windows
-    whole = window_hashes(symbols, shape.length, 23)
-    text = whole[first] ^ (whole[first + count - 1] * np.uint64(0x9FB21C651E98DF25)) ^ (count.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return Bundles(first, count, seed, text)
+    """All bundles of a text."""
+    found = [Bundles(begin + b.first, b.count, b.seed, b.text) for begin, _, b in _in_pieces(symbols, shape)]
+    return Bundles(*(np.concatenate([getattr(b, f) for b in found]) for f in ("first", "count", "seed", "text"))) if found else _NONE
 
 
 def _by_document(run: Callable[[int, str], list[pa.Array] | None], names: list[str]) -> Callable:
@@ -141,29 +169,42 @@ def sharing(docs: DataFrame, symbols: Symbols, shape: Shape) -> DataFrame:
 
 
 def marked_windows(docs: DataFrame, symbols: Symbols, shape: Shape) -> DataFrame:
-    """``docs`` (no null ids) with ``marks``: bundles with repeated windows and which, as bits.
+    """``docs`` (no null ids) with ``marks``, bundles with repeated windows and which, as bits, and ``copied``,
+    digests of texts that a smaller id has as a whole, so that all windows are repeated.
 
-    A mark names a bundle by its content, so it holds wherever a document of this id has that bundle.
+    Both name what they mark by its content, so they hold wherever a document of this id has it.
     """
-    texts = docs.select("doc_id", "text")
+    digest = F.sha2(F.col("text").cast("binary"), 256)
+    texts = docs.where("text is not null").select("doc_id", "text", digest.alias("digest"))
+    # copies of a text say nothing that the least document doesn't: it alone is looked into
+    owners = stored(texts.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("hi")), "owners")
+    copies = texts.select("doc_id", "digest").join(owners.where("owner < hi"), "digest").where("doc_id > owner")
+    copies = copies.groupBy("doc_id").agg(F.collect_set("digest").alias("copied"))
+    texts = texts.join(owners.select("digest", F.col("owner").alias("doc_id")), ["doc_id", "digest"], "left_semi").select("doc_id", "text")
+
     rows = _bundle_rows(texts, symbols, shape)
-    spread = stored(rows.groupBy("seed").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("seed", "lo"), "seeds")
-    shared = stored(rows.join(spread, "seed"), "shared")
-    variants = stored(shared.groupBy("seed", "body").agg(F.min("doc").alias("first"), F.min("lo").alias("lo")), "variants")
+    # one narrow row a seed, or a seed and body: hashed rather than sorted along with all bundles
+    spread = stored(rows.groupBy("seed").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("seed"), "seeds")
+    shared = stored(rows.join(spread.hint("shuffle_hash"), "seed"), "shared")
+    variants = stored(shared.groupBy("seed", "body").agg(F.min("doc").alias("first"), F.max("doc").alias("hi")), "variants")
     # equal bundles: all but the least document's are repeated throughout
-    whole = shared.select("seed", "body", "doc").join(variants.select("seed", "body", "first"), ["seed", "body"]).where("doc > first")
-    whole = whole.select("doc", "seed", "body", F.lit(-1).cast("long").alias("bits"))
+    twice = variants.where("first < hi").select("seed", "body", "first").hint("shuffle_hash")
+    whole = shared.join(twice, ["seed", "body"]).where("doc > first").select("doc", "seed", "body", F.lit(-1).cast("long").alias("bits"))
     # different bundles of one seed: their windows, each bundle shown by its least document
-    several = variants.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    mixed = variants.join(several, "seed").select(F.col("first").alias("doc_id"), "seed", "body")
-    asked = mixed.groupBy("doc_id").agg(F.collect_list(F.struct("seed", "body")).alias("asked"))
-    windows = texts.join(asked, "doc_id").mapInArrow(_shown(symbols, shape), "head long, tail long, doc long, seed long, body long, at int")
-    windows = stored(windows, "windows")
-    first = windows.groupBy("head", "tail").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("head", "tail", "first")
-    part = windows.join(stored(first, "firsts"), ["head", "tail"]).where("doc > first")
+    several = variants.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed", (F.col("n") > TOGETHER).alias("many"))
+    mixed = variants.join(several, "seed").select(F.col("first").alias("doc_id"), "seed", "body", "many")
+    asked = mixed.groupBy("doc_id").agg(F.collect_list(F.struct("seed", "body", "many")).alias("asked"))
+    shown = texts.join(asked, "doc_id").mapInArrow(_shown(symbols, shape), "seed long, body long, doc long, many boolean, names array<long>")
+    shown = stored(shown, "shown")
+    few = shown.where("not many").select("seed", "body", "doc", "names").repartition("seed").sortWithinPartitions("seed")
+    few = few.mapInArrow(_judged_together, "doc long, seed long, body long, bits long")
+    # a seed with many bundles goes by window, and minima are taken before the shuffle
+    windows = shown.where("many").select("seed", "body", "doc", F.posexplode("names").alias("at", "name"))
+    first = windows.groupBy("seed", "name").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("seed", "name", "first")
+    part = windows.join(stored(first, "firsts"), ["seed", "name"]).where("doc > first")
     part = part.groupBy("doc", "seed", "body").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("bits"))
-    marks = whole.unionAll(part).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("seed", "body", "bits")).alias("marks"))
-    return docs.join(marks, "doc_id", "left")
+    marks = whole.unionAll(few).unionAll(part).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("seed", "body", "bits")).alias("marks"))
+    return docs.join(marks, "doc_id", "left").join(copies, "doc_id", "left")
 
 
 def _shown(symbols: Symbols, shape: Shape) -> Callable:
@@ -171,24 +212,61 @@ def _shown(symbols: Symbols, shape: Shape) -> Callable:
         for b in batches:
             asked = b.column("asked")
             for i, doc in enumerate(b.column("doc_id").to_pylist()):
-                s = symbols(b.column("text")[i].as_py())
-                found = bundles(s, shape)
                 wanted = asked[i].values
-                keep = _matching(found, wanted)[0]
-                if not len(keep):
-                    continue
-                names = window_hashes(s, shape.seed, 22)
-                count = found.count[keep]
-                at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                start = np.repeat(found.first[keep], count) + at
-                yield pa.RecordBatch.from_arrays(
-                    [_signed(names[start]), _signed(names[start + shape.length - shape.seed]), pa.array(np.full(len(at), doc, np.int64)), _signed(np.repeat(found.seed[keep], count)), _signed(np.repeat(found.text[keep], count)), pa.array(at.astype(np.int32))],
-                    ["head", "tail", "doc", "seed", "body", "at"],
-                )
+                for _, sums, found in _in_pieces(symbols(b.column("text")[i].as_py()), shape):
+                    keep, place = _matching(found, wanted)
+                    if not len(keep):
+                        continue
+                    at, count = _windows_of(found, keep)
+                    names = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)).astype(np.int32)), _signed(_window_names(sums, at, shape)))
+                    many = wanted.field("many").take(pa.array(place))
+                    yield pa.RecordBatch.from_arrays([_signed(found.seed[keep]), _signed(found.text[keep]), pa.array(np.full(len(keep), doc, np.int64)), many, names], ["seed", "body", "doc", "many", "names"])
 
     return go
 
 
+def _windows_of(found: Bundles, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of all windows of some bundles, one bundle after the other, and how many each has."""
+    count = found.count[keep]
+    return np.repeat(found.first[keep] - np.cumsum(count) + count, count) + np.arange(count.sum()), count
+
+
+def _judged_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Which windows of each bundle a smaller document shows too; rows come sorted by seed, at most ``TOGETHER`` a seed."""
+    held = None
+
+    def judged(b: pa.RecordBatch) -> pa.RecordBatch:
+        names = b.column("names")
+        count = np.diff(names.offsets.to_numpy())
+        row = np.repeat(np.arange(b.num_rows), count)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        doc = b.column("doc").to_numpy()
+        seed = b.column("seed").to_numpy().view(np.uint64)
+        key = names.flatten().to_numpy().view(np.uint64) ^ mix(seed, 24)[row]
+        order = np.lexsort((doc[row], key))
+        key, row, at = key[order], row[order], at[order]
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        first = doc[row[new]][np.cumsum(new) - 1]
+        later = doc[row] > first
+        bits = np.zeros(b.num_rows, np.int64)
+        np.bitwise_or.at(bits, row[later], np.int64(1) << at[later])
+        hit = np.flatnonzero(bits)
+        return pa.RecordBatch.from_arrays([*[b.column(c).take(pa.array(hit)) for c in ("doc", "seed", "body")], pa.array(bits[hit])], ["doc", "seed", "body", "bits"])
+
+    for b in batches:
+        if held is not None:
+            b = pa.concat_batches([held, b])
+        if not b.num_rows:
+            continue
+        # the last seed may go on in the next batch
+        cut = int(np.argmax(b.column("seed").to_numpy() == b.column("seed")[-1].as_py()))
+        held = b.slice(cut)
+        if cut:
+            yield judged(b.slice(0, cut))
+    if held is not None:
+        yield judged(held)
+
+
 def _matching(found: Bundles, wanted: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
     """Which bundles are among the wanted (seed, body), and which of the wanted each one is."""
     seeds = wanted.field("seed").to_numpy(zero_copy_only=False).view(np.uint64)
@@ -202,17 +280,18 @@ def _matching(found: Bundles, wanted: pa.StructArray) -> tuple[np.ndarray, np.nd
     return keep, place[keep]
 
 
-def covered(symbols: np.ndarray, marks: pa.StructArray | None, shape: Shape) -> np.ndarray:
-    """Whether each symbol lies in a marked window."""
+def covered(text: str | None, symbols: np.ndarray, marks: pa.ListScalar, copied: pa.ListScalar, shape: Shape) -> np.ndarray:
+    """Whether each symbol lies in a repeated window."""
+    if copied.is_valid and hashlib.sha256((text or "").encode("utf-8", "replace")).hexdigest() in copied.as_py():
+        return np.full(len(symbols), len(symbols) >= shape.length)
     depth = np.zeros(len(symbols) + 1, np.int64)
-    if marks is not None and len(marks):
-        found = bundles(symbols, shape)
-        keep, place = _matching(found, marks)
-        bits = marks.field("bits").to_numpy(zero_copy_only=False)[place]
-        count = found.count[keep]
-        at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        on = (np.repeat(bits, count) >> at) & 1 == 1
-        start = (np.repeat(found.first[keep], count) + at)[on]
-        np.add.at(depth, start, 1)
-        np.add.at(depth, start + shape.length, -1)
+    for begin, _, found in _in_pieces(symbols, shape) if marks.is_valid and len(marks) else ():
+        keep, place = _matching(found, marks.values)
+        at, count = _windows_of(found, keep)
+        bits = marks.values.field("bits").to_numpy(zero_copy_only=False)[place]
+        nth = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
+        start = begin + at[(np.repeat(bits, count) >> nth) & 1 == 1]
+        # windows of a document start at different symbols
+        depth[start] += 1
+        depth[start + shape.length] -= 1
     return np.cumsum(depth[:-1]) > 0

@@ -49,7 +49,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     same windows. Other columns pass through; those
     with the new names are replaced.
     """
-    docs = docs.drop("n_words", "n_removed", "spans", "kept_text", "marks")
+    docs = docs.drop("n_words", "n_removed", "spans", "kept_text", "marks", "copied")
     others = [f for f in docs.schema if f.name != "text"]
     names = [f.name for f in others]
     span = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))
@@ -57,9 +57,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for text, held in zip(b.column("text"), b.column("marks"), strict=True):
+            for text, marks, copied in zip(b.column("text"), b.column("marks"), b.column("copied"), strict=True):
                 raw, starts, ends, words = words_of(text.as_py())
-                gone = repeats.covered(words, held.values if held.is_valid else None, shape(window))
+                gone = repeats.covered(text.as_py(), words, marks, copied, shape(window))
                 edge = np.diff(np.concatenate(([False], gone, [False])).astype(np.int8))
                 spans = [{"start": s, "length": e - s} for s, e in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True)]
                 data = raw.tobytes()
@@ -81,7 +81,9 @@ def longest_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     while True:
         shared = stored(repeats.sharing(left, _symbols, shape(length)), "sharing")
         left = texts.join(shared, "doc_id", "left_semi")
-        hit = stored(repeats.marked_windows(left, _symbols, shape(length)).where("marks is not null").select("doc_id", F.lit(length).alias("longest")), "longest")
+        marked = repeats.marked_windows(left, _symbols, shape(length))
+        copy = F.array_contains("copied", F.sha2(F.col("text").cast("binary"), 256)) & (F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")) >= length)
+        hit = stored(marked.where(F.col("marks").isNotNull() | F.coalesce(copy, F.lit(False))).select("doc_id", F.lit(length).alias("longest")), "longest")
         if hit.limit(1).count() == 0:
             break
         found = hit if found is None else found.unionAll(hit)

@@ -52,9 +52,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         for b in batches:
             out = []
             for i, doc in enumerate(b.column("doc_id").to_pylist()):
-                raw = _bytes(b.column("text")[i].as_py())
-                marks = b.column("marks")[i].values if b.column("marks")[i].is_valid else None
-                gone = repeats.covered(_OF_BYTE[raw], marks, shape(length))
+                text = b.column("text")[i].as_py()
+                raw = _bytes(text)
+                gone = repeats.covered(text, _OF_BYTE[raw], b.column("marks")[i], b.column("copied")[i], shape(length))
                 edge = np.diff(np.concatenate(([False], gone, [False])).astype(np.int8))
                 spans = [{"start": s, "length": e - s} for s, e in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True)]
                 out.append({"doc_id": doc, "n_bytes": len(raw), "n_removed": int(gone.sum()), "spans": spans, "kept": raw[~gone].tobytes()})
