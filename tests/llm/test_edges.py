@@ -158,6 +158,21 @@ def test_suffix_dedup(spark, odd):
     assert suffix_dedup.remove_repeats(docs(spark, small).limit(0)).count() == 0
 
 
+def test_repeats_of_a_seed_in_many_bundles(spark, monkeypatch):
+    """A passage with different neighbours each time, copies and an id with two texts; compared together, and by window."""
+    rng = random.Random(12)
+    passage = prose(rng, 70, 9_000)
+    rows = [(i, f"{prose(rng, 30, 9_000)} {passage} {prose(rng, 30, 9_000)}", "en", "s") for i in range(12)]
+    rows += [(20, rows[3][1], "en", "s"), (2, rows[3][1], "en", "s"), (21, prose(rng, 80, 9_000), "en", "s"), (22, "short", "en", "s"), (23, "short", "en", "s")]
+    words = [(i, t.split()) for i, t, _, _ in rows]
+    want = sorted((i, sum(g)) for i, g in removed(None, words, 50))
+    for most in (repeats.TOGETHER, 2):
+        monkeypatch.setattr(repeats, "TOGETHER", most)
+        assert sorted((r["doc_id"], r["n_removed"]) for r in substring_dedup.remove_repeats(docs(spark, rows)).collect()) == want
+    longest = {r["doc_id"]: r["longest"] for r in substring_dedup.longest_repeats(docs(spark, rows)).collect()}
+    assert longest == {i: 100 if i in (3, 20) else 50 for i in (*range(1, 12), 20)}
+
+
 def test_seeds_follow_content():
     rng = np.random.default_rng(1)
     s = rng.integers(0, 1 << 63, 900).astype(np.uint64)
