@@ -10,10 +10,11 @@ their bags' weighted Jaccard similarity. Points come in order of time, and a tex
 components are filled.
 
 Bands of the signature make buckets. Copies of a text are one member. Within a bucket all are compared
-with one leader, the text that meets most others over all its bands; who matches no leader anywhere
-is compared with further ones, members that the triangle inequality rules out left aside, as long
-as a hundredth of the comparisons link. Overlap is counted on whole bags. Buckets
-are never paired out, and classes are found by passing labels along the links.
+with one leader, the text that meets most others over all its bands, and the links give classes. Then
+each bucket is finished: all pairs of its members are compared but those that are in one class already or
+that can't link, by the triangle inequality over the leader or by their sizes. Pairs within the leader's class are
+never made; a large bucket is dealt out in blocks of members outside that class against blocks of all.
+Overlap is counted on whole bags, and classes are found by passing labels along the links.
 """
 
 from __future__ import annotations
@@ -30,8 +31,12 @@ from cairn.sources.tables import stored
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 5
-#: Members compared with one copy of a leader's bag; share of comparisons that must link for another round.
-PER_PART, WORTH = 200, 0.01
+#: Members compared with one copy of a leader's bag; members in a block of a large bucket.
+PER_PART, BLOCK = 200, 512
+#: A bucket that has at most this many pairs left is paired out, one with more is dealt out in blocks.
+PAIRED = 4096
+#: Slack of the bounds that leave pairs out, against rounding.
+SLACK = 1e-9
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -171,6 +176,87 @@ def _compared(pairs: DataFrame, bags: DataFrame) -> DataFrame:
     return both.select("member", "leader", "bag", "lead_bag").mapInArrow(run, "member long, leader long, similarity double")
 
 
+def shared_elements(xs: list[np.ndarray], ys: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """How many elements each of ``xs`` shares with each of ``ys``, sorted sets, by products of 0/1 matrices."""
+    common = np.intersect1d(np.concatenate(xs), np.concatenate(ys))
+    out = np.zeros((len(xs), len(ys)), np.int64)
+    if not len(common):
+        return out
+
+    def placed(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        of, flat = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets)
+        at = np.minimum(np.searchsorted(common, flat), len(common) - 1)
+        hit = common[at] == flat
+        of, at = of[hit], at[hit]
+        order = np.argsort(at, kind="stable")
+        return of[order], at[order]
+
+    both = [placed(xs), placed(ys)]
+    for low in range(0, len(common), width):
+        parts = []
+        for (of, at), n in zip(both, (len(xs), len(ys)), strict=True):
+            span = slice(*np.searchsorted(at, (low, low + width)))
+            m = np.zeros((n, min(width, len(common) - low)), np.float32)
+            m[of[span], at[span] - low] = 1
+            parts.append(m)
+        out += (parts[0] @ parts[1].T).astype(np.int64)
+    return out
+
+
+def _crossed(rows: DataFrame, similarity: float) -> DataFrame:
+    """Links ``(member, leader, similarity)`` between the ``lead`` rows and the others of each ``(key, o, p)``."""
+
+    def run(t: pa.Table) -> pa.Table:
+        member, size, to_lead, cls, other, lead = (t.column(c).to_numpy() for c in ("member", "size", "similarity", "class", "other", "lead"))
+        a, b = np.flatnonzero(lead), np.flatnonzero(~lead)
+        ask = (cls[a][:, None] != cls[b]) & (~other[b] | (member[a][:, None] < member[b]))
+        ask &= np.abs(to_lead[a][:, None] - to_lead[b]) <= 1 - similarity + SLACK
+        ask &= np.minimum(size[a][:, None], size[b]) >= (similarity - SLACK) * np.maximum(size[a][:, None], size[b])
+        some_a, some_b = ask.any(axis=1), ask.any(axis=0)
+        a, b, ask = a[some_a], b[some_b], ask[some_a][:, some_b]
+        found = np.zeros(ask.shape)
+        if len(a):
+            bags = t.column("bag")
+            sets = lambda at: [np.frombuffer(bags[int(i)].as_py(), np.uint64) for i in at]
+            both = shared_elements(sets(a), sets(b))
+            found = both / (size[a][:, None] + size[b] - both)
+        i, j = np.nonzero(ask & (found >= similarity))
+        return pa.table({"member": pa.array(member[b[j]], pa.int64()), "leader": pa.array(member[a[i]], pa.int64()), "similarity": pa.array(found[i, j], pa.float64())})
+
+    return rows.groupBy("key", "o", "p").applyInArrow(run, "member long, leader long, similarity double")
+
+
+def _finished(told: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
+    """Links ``(member, leader, similarity)`` between members of one bucket that the leaders left open.
+
+    ``told`` has per bucket ``key`` and ``member`` but the leader its ``similarity`` to the leader, ``size``,
+    ``class`` and whether that is an ``other`` than the leader's. Of two members of the leader's class nothing is open.
+    """
+    # 1 - similarity is a metric: texts whose similarities to the leader differ by more than this can't match
+    reach = 1 - similarity + SLACK
+    o = lambda f, c: f(F.when(F.col("other"), F.col(c)))
+    spans = told.groupBy("key").agg(o(F.min, "similarity").alias("low"), o(F.max, "similarity").alias("high"), o(F.min, "size").alias("short"), o(F.max, "size").alias("long"), F.count(F.lit(1)).alias("n"))
+    spans = spans.where("n > 1 and low is not null").drop("n")
+    fits = (F.col("similarity") >= F.col("low") - reach) & (F.col("similarity") <= F.col("high") + reach)
+    fits &= (F.col("size") >= (similarity - SLACK) * F.col("short")) & ((similarity - SLACK) * F.col("size") <= F.col("long"))
+    near = stored(told.join(spans, "key").where(F.col("other") | fits).select(*told.columns), "open")
+    counts = near.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if("other").alias("n_other")).where("n > 1")
+    near = near.join(counts, "key")
+    few = near.where(F.col("n") * F.col("n_other") <= PAIRED).drop("n", "n_other")
+    a = few.where("other").select("key", *[F.col(c).alias(f"a_{c}") for c in ("member", "similarity", "size", "class")])
+    met = a.join(few, "key").where((F.col("a_class") != F.col("class")) & (~F.col("other") | (F.col("a_member") < F.col("member"))))
+    met = met.where((F.abs(F.col("a_similarity") - F.col("similarity")) <= reach) & (F.least("a_size", "size") >= (similarity - SLACK) * F.greatest("a_size", "size")))
+    pairs = met.select(F.greatest("a_member", "member").alias("member"), F.least("a_member", "member").alias("leader")).distinct()
+    paired = _compared(stored(pairs, "pairs"), bags).where(F.col("similarity") >= similarity)
+    many = near.where(F.col("n") * F.col("n_other") > PAIRED)
+    own = lambda c: F.pmod(F.xxhash64("member"), F.expr(f"{c} div {BLOCK} + 1"))
+    each = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"{c} div {BLOCK}")))
+    leads = many.where("other").withColumn("lead", F.lit(True)).withColumn("o", own("n_other")).withColumn("p", each("n"))
+    others = many.withColumn("lead", F.lit(False)).withColumn("o", each("n_other")).withColumn("p", own("n"))
+    dealt = leads.unionAll(others).drop("n", "n_other").join(bags, "member")
+    return paired.unionAll(_crossed(dealt, similarity))
+
+
 def components(links: DataFrame) -> DataFrame:
     """``(node, component)`` from links ``(a, b)``: the least node that links lead to.
 
@@ -201,29 +287,21 @@ def near_links(docs: DataFrame, only: DataFrame, shingle: int = SHINGLE, similar
     shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = each.join(shared, "key")
     score = met.groupBy("member").agg(F.sum("n").alias("score"))
-    open_ = stored(met.select("key", "member").join(score, "member").select("key", "member", "score", F.lit(True).alias("alone")), "members")
+    open_ = stored(met.select("key", "member").join(score, "member"), "members")
     candidates = open_.select(F.col("member").alias("doc_id")).distinct().join(only, "doc_id")
     # the candidates grow with the corpus, so they are never broadcast
     bags = stored(_bags(docs.join(candidates.hint("merge"), ["doc_id", "sha"], "left_semi"), shingle), "bags")
-    links = seen = None
-    while True:
-        leaders = open_.groupBy("key").agg(F.max_by("member", F.struct("alone", "score", -F.col("member"))).alias("leader"), F.count(F.lit(1)).alias("n"), F.max("alone").alias("any"))
-        led = open_.join(leaders.where("n > 1 and any").select("key", "leader"), "key").where("member <> leader")
-        pairs = led.select("member", "leader").distinct()
-        if seen is not None:
-            pairs = pairs.join(seen.select("member", "leader"), ["member", "leader"], "left_anti")
-        found = stored(_compared(pairs, bags), "compared")
-        new = found.where(F.col("similarity") >= similarity)
-        links = new if links is None else links.unionAll(new)
-        seen = found if seen is None else seen.unionAll(found)
-        # 1 - similarity is a metric: a text at s to the leader can't match one at over s + 1 - similarity
-        linked = new.select("member").unionAll(new.select(F.col("leader").alias("member"))).distinct().withColumn("linked", F.lit(True))
-        told = led.join(seen, ["member", "leader"]).join(linked, "member", "left").withColumn("alone", F.col("alone") & F.col("linked").isNull())
-        most = told.where("alone").groupBy("key").agg(F.max("similarity").alias("most"))
-        left = told.join(most, "key").where(F.col("alone") | (F.col("similarity") <= F.col("most") + (1 - similarity)))
-        open_ = stored(left.select("key", "member", "score", "alone"), "members")
-        if new.count() <= WORTH * found.count() or open_.limit(1).count() == 0:
-            return links
+    leaders = open_.groupBy("key").agg(F.max_by("member", F.struct("score", -F.col("member"))).alias("leader"))
+    led = stored(open_.join(leaders, "key").where("member <> leader").select("key", "member", "leader"), "led")
+    found = stored(_compared(led.select("member", "leader").distinct(), bags), "compared")
+    links = found.where(F.col("similarity") >= similarity)
+    classes = components(links.select(F.col("member").alias("a"), F.col("leader").alias("b")))
+    of = lambda c: classes.select(F.col("node").alias(c), F.col("component").alias(f"{c}_class"))
+    sizes = bags.select("member", F.expr("octet_length(bag) div 8").alias("size"))
+    told = led.join(found, ["member", "leader"]).join(sizes, "member").join(of("member"), "member", "left").join(of("leader"), "leader", "left")
+    own = F.coalesce("member_class", "member")
+    told = told.select("key", "member", "similarity", "size", own.alias("class"), (own != F.coalesce("leader_class", "leader")).alias("other"))
+    return links.unionAll(stored(_finished(stored(told, "told"), bags, similarity), "finished"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

@@ -197,6 +197,46 @@ def test_near_duplicates(spark, odd):
     assert bagminhash.near_duplicates(docs(spark, rows).limit(0)).count() == 0
 
 
+def by_brute_force(texts):
+    """Class per id: the least id that links of similarity 0.8 lead to, all pairs compared."""
+    ids = sorted(texts)
+    bags = {i: bagminhash.expanded(hashing.shingles(hashing.words_of(texts[i])[3], 5)) for i in ids}
+    of = {i: i for i in ids}
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            if of[i] != of[j] and bagminhash.overlap(bags[i], bags[j]) >= 0.8:
+                low, high = sorted((of[i], of[j]))
+                of = {k: low if c == high else c for k, c in of.items()}
+    return of
+
+
+def changed(rng, text, at):
+    w = text.split()
+    for p in at:
+        w[p] = f"c{rng.randrange(10**9)}"
+    return " ".join(w)
+
+
+@pytest.mark.parametrize("paired", [0, bagminhash.PAIRED])
+def test_near_duplicates_among_templates(spark, monkeypatch, paired):
+    """Many texts like a template but below the limit, and a few pairs of them above it."""
+    monkeypatch.setattr(bagminhash, "PAIRED", paired)
+    monkeypatch.setattr(bagminhash, "BLOCK", 40)
+    rng = random.Random(11)
+    template = prose(rng, 300, 5_000)
+    texts = {}
+    for i in range(0, 600, 2):
+        at = rng.sample(range(300), 8)
+        base = changed(rng, template, at[:3])
+        texts[i] = changed(rng, base, at[3:5])
+        if i < 20:
+            texts[i + 1] = changed(rng, base, at[5:8])
+    want = by_brute_force(texts)
+    got = bagminhash.near_duplicates(docs(spark, [(i, t, "en", "n") for i, t in texts.items()])).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == want
+    assert all(want[i + 1] == want[i] for i in range(0, 20, 2)) and len(set(want.values())) > 200
+
+
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(2)
     x = rng.integers(0, 1 << 63, 300).astype(np.uint64)
