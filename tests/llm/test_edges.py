@@ -237,6 +237,34 @@ def test_near_duplicates_among_templates(spark, monkeypatch, paired):
     assert all(want[i + 1] == want[i] for i in range(0, 20, 2)) and len(set(want.values())) > 200
 
 
+@pytest.mark.parametrize("paired", [0, bagminhash.PAIRED])
+def test_near_duplicates_over_several_leaders(spark, monkeypatch, paired):
+    """Chains of versions each near the next only, and groups whose members link to one of two leaders."""
+    monkeypatch.setattr(bagminhash, "PAIRED", paired)
+    rng = random.Random(12)
+    texts = {}
+    for c in range(20):
+        text = prose(rng, 300, 5_000)
+        order = rng.sample(range(300), 300)
+        for k in range(8):
+            texts[100 * c + k] = text
+            text = changed(rng, text, order[4 * k : 4 * k + 4])
+    for c in range(20, 40):
+        # x and y link to each other, and each to the leader on its side, which copies of its own make the leader
+        x = prose(rng, 300, 5_000)
+        order = rng.sample(range(300), 300)
+        y = changed(rng, x, order[:4])
+        left, right = changed(rng, x, order[4:8]), changed(rng, y, order[8:12])
+        for k, t in enumerate([x, y, left, right]):
+            texts[100 * c + k] = t
+        for k in range(4):
+            texts[100 * c + 10 + k] = changed(rng, left, [order[20 + k]])
+            texts[100 * c + 20 + k] = changed(rng, right, [order[30 + k]])
+    want = by_brute_force(texts)
+    got = bagminhash.near_duplicates(docs(spark, [(i, t, "en", "n") for i, t in texts.items()])).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == want
+
+
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(2)
     x = rng.integers(0, 1 << 63, 300).astype(np.uint64)
