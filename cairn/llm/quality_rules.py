@@ -83,12 +83,12 @@ def frequent_lines(docs: DataFrame, min_docs: int = MIN_LINE_DOCS, share: float
 
 
 def quality_rules(docs: DataFrame, min_docs: int = MIN_LINE_DOCS, share: float = LINE_SHARE, most_removed: float = MOST_REMOVED) -> DataFrame:
-    """``docs`` with the base figures, ``n_removed_words`` (words in frequent lines) and ``kept``.
+    """``docs`` with the base figures, ``n_removed_words`` (words in frequent lines), ``kept_text`` and ``kept``.
 
-    A null or empty text has no words and fails the base. Repeated rows get equal results; a null
+    ``kept_text`` is the text without its host's frequent lines, the other lines unchanged. A null or empty text has no words and fails the base. Repeated rows get equal results; a null
     doc_id is a key like any other. Columns with these names are replaced. No rows, no result.
     """
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_words", "kept"]
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_words", "kept_text", "kept"]
     docs = docs.drop(*names)
     key = ["_id", "_text", "_host"]
     lines = _lines(docs).select(*key, F.explode("_lines").alias("x")).select(*key, "x.line", "x.words")
@@ -96,10 +96,14 @@ def quality_rules(docs: DataFrame, min_docs: int = MIN_LINE_DOCS, share: float =
     hit = lines.join(bad, (F.col("line") == F.col("bad_line")) & F.col("_host").eqNullSafe(F.col("bad_host")), "left_semi")
     # equal rows meet under one key: their words are shared out again by the number of rows
     rows = _lines(docs).select(*key, F.lit(None).cast("long").alias("words"), F.lit(1).alias("one"))
-    summed = hit.select(*key, "words", F.lit(0).alias("one")).unionByName(rows).groupBy(*key).agg(F.sum("words").alias("words"), F.sum("one").alias("ones"))
-    removed = summed.where("words > 0").select(*key, (F.col("words") / F.col("ones")).cast("long").alias("n_removed_words"))
+    summed = hit.select(*key, "line", "words", F.lit(0).alias("one")).unionByName(rows.withColumn("line", F.lit(None).cast("long")))
+    # a document's own frequent lines, at most as many as it has
+    summed = summed.groupBy(*key).agg(F.sum("words").alias("words"), F.sum("one").alias("ones"), F.collect_set("line").alias("_bad"))
+    removed = summed.where("words > 0").select(*key, (F.col("words") / F.col("ones")).cast("long").alias("n_removed_words"), "_bad")
     base = base_figures(docs).withColumn("_key", F.xxhash64("text"))
     joined = base.join(removed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text")) & F.col("source").eqNullSafe(F.col("_host")), "left")
     out = joined.withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0).cast("long")))
+    left = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("_bad", F.xxhash64(normal_line(x))))
+    out = out.withColumn("kept_text", F.when(F.col("_bad").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
     kept = ~F.col("base_failed") & (F.col("n_removed_words") <= most_removed * F.col("n_words"))
-    return out.withColumn("kept", kept).drop("_key", *key)
+    return out.withColumn("kept", kept).drop("_key", "_bad", *key)

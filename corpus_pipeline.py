@@ -10,8 +10,10 @@ from cairn.sources.tables import stored, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality_rules.quality_rules(docs).where("kept").select(*docs.columns)
+    """Documents that the quality rules keep, without their frequent lines."""
+    ruled = quality_rules.quality_rules(docs).where("kept")
+    n_chars = F.when(F.col("n_removed_words") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
+    return ruled.withColumns({"text": F.col("kept_text"), "n_chars": n_chars}).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

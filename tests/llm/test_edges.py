@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from cairn.llm import bagminhash, decontamination, hashing, language_id, mixing, quality_rules, repeats, substring_dedup, suffix_dedup, toxicity, url_filters, warc
 from cairn.sources.tables import shared_path
 
@@ -85,6 +86,19 @@ def test_frequent_lines(spark):
     assert {r["n_removed_words"] for r in quality_rules.quality_rules(twice, min_docs=10, share=0.1).collect()} == {2}
 
 
+def test_frequent_lines_are_removed(spark):
+    rng = random.Random(21)
+    body = [f"{prose(rng, 60)}\n\n  {prose(rng, 9)} " for _ in range(60)]
+    rows = [(i, f"Menu \t HOME\n{b}\nmenu home", "en", "h") for i, b in enumerate(body)]
+    rows += [(100, f"menu home\n{body[0]}", "en", "other"), (101, f"{prose(rng, 60)}", "en", "h"), (102, None, "en", "h")]
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(docs(spark, rows).withColumn("kept_text", F.lit("clash"))).collect()}
+    want = dict(enumerate(body)) | {i: t for i, t, *_ in rows[60:]}
+    assert {i: r["kept_text"] for i, r in got.items()} == want
+    assert all(r["n_removed_words"] == r["n_words"] - len((r["kept_text"] or "").split()) for r in got.values())
+    after = {r["doc_id"]: r for r in corpus_pipeline.quality(spark, docs(spark, rows), "").collect()}
+    assert {i: (r["text"], r["n_chars"]) for i, r in after.items()} == {i: (t, len(t)) for i, t in want.items() if t}
+
+
 @pytest.mark.parametrize("limit", [0, 10_000])
 def test_decontamination(spark, odd, limit):
     rng = random.Random(3)
