@@ -78,7 +78,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_rules(table(spark, sf_dir, "documents")).select(
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return quality_rules.quality_rules(docs, texts=False).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_words", "kept")
 
 
@@ -160,8 +161,8 @@ tri AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS x FROM (
 again AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, x) AS n FROM tri) WHERE n > 1),
 rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY doc_id),
 l AS (SELECT doc_id, source, th, trim(regexp_replace(translate(line, '{_UPPER}', '{_LOWER}'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS line FROM (SELECT doc_id, source, th, unnest(lines) AS line FROM d)),
-hosts AS (SELECT source, count(*) AS host_docs FROM documents GROUP BY source),
-bad AS (SELECT l.source, line FROM l JOIN hosts ON l.source IS NOT DISTINCT FROM hosts.source GROUP BY l.source, line, host_docs HAVING count(DISTINCT doc_id) > 50 AND count(DISTINCT th) > 1 AND count(DISTINCT doc_id) > 0.05 * host_docs),
+hosts AS (SELECT source, count(DISTINCT coalesce(th, '')) AS host_docs FROM d GROUP BY source),
+bad AS (SELECT l.source, line FROM l JOIN hosts ON l.source IS NOT DISTINCT FROM hosts.source GROUP BY l.source, line, host_docs HAVING count(DISTINCT th) > 50 AND count(DISTINCT th) > 0.05 * host_docs),
 removed AS (SELECT doc_id, sum(len({_WORDS.format("l.line")})) AS n FROM l JOIN bad ON l.source IS NOT DISTINCT FROM bad.source AND l.line = bad.line GROUP BY doc_id),
 base AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(translate(t, {_BLANKS}, '')) AS BIGINT) AS word_chars,
   CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,

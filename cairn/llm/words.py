@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +16,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 def words(text: Column) -> Column:
     """The words of a text, unchanged; none for null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), BLANK_RUN), lambda w: w != "")
+    inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, BLANK_RUN))
 
 
 def count_words(text: Column) -> Column:
@@ -22,6 +25,22 @@ def count_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns: those given, behind as many underscores as keep them from clashing with ``df``'s."""
+    taken = {c.lower() for c in df.columns}
+    lead = ""
+    while any(f"{lead}{n}".lower() in taken for n in names):
+        lead += "_"
+    return [f"{lead}{n}" for n in names]
+
+
+def set_aside(df: DataFrame, names: list[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with those of its columns that are in ``names`` under free names, and what names them back."""
+    clashing = [c for c in df.columns if c.lower() in {n.lower() for n in names}]
+    free = free_names(df, *[f"_aside_{k}" for k in range(len(clashing))])
+    return df.withColumnsRenamed(dict(zip(clashing, free, strict=True))), lambda out: out.withColumnsRenamed(dict(zip(free, clashing, strict=True)))
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case, all else unchanged."""
     return F.translate(text, UPPER, UPPER.lower())
