@@ -138,7 +138,7 @@ def _banded(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
         for b in batches:
             ids, texts = (b.column("doc_id"), b.column("sha")), b.column("text").to_pylist()
             for part in _groups(texts):
-                bags = [shingles(words_of(t)[3], shingle) for t in texts[part]]
+                bags = [shingles(words_of(t), shingle) for t in texts[part]]
                 keys = band_keys(signatures(bags, bands * rows), bands, rows).view(np.int64)
                 some = [i for i, x in enumerate(bags) if len(x)]
                 own = [c[part].take(pa.array(some, pa.int64())) for c in ids]
@@ -152,7 +152,7 @@ def _bags(docs: DataFrame, shingle: int) -> DataFrame:
         for b in batches:
             ids, texts = b.column("doc_id"), b.column("text").to_pylist()
             for part in _groups(texts):
-                found = [expanded(shingles(words_of(t)[3], shingle)).tobytes() for t in texts[part]]
+                found = [expanded(shingles(words_of(t), shingle)).tobytes() for t in texts[part]]
                 yield pa.RecordBatch.from_arrays([ids[part], pa.array(found, pa.binary())], ["member", "bag"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "member long, bag binary")

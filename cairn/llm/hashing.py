@@ -6,7 +6,10 @@ of any window is one subtraction and one multiplication by a power of the base's
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -52,10 +55,38 @@ def window_hashes(symbols: np.ndarray, length: int, seed: int = 0) -> np.ndarray
     return mix(out, seed)
 
 
-def word_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words in a text's bytes."""
-    edge = np.diff(np.concatenate(([True], _BLANK[raw], [True])).astype(np.int8))
-    return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column of strings, one after the other, and where each starts; the last entry is the end. Null is empty."""
+    texts = texts.fill_null("") if texts.null_count else texts
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    _, offsets, data = texts.buffers()
+    if not len(texts) or data is None:
+        return np.zeros(0, np.uint8), np.zeros(len(texts) + 1, np.int64)
+    at = np.frombuffer(offsets, kind, len(texts) + 1, texts.offset * np.dtype(kind).itemsize).astype(np.int64)
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
+
+
+def in_slices(batches: Iterator[pa.RecordBatch], most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that the texts of each are about ``most`` bytes, or one text."""
+    for b in batches:
+        _, starts = bytes_of(b.column("text"))
+        at = 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(starts, starts[at] + most, "right")) - 1)
+            yield b.slice(at, end - at)
+            at = end
+
+
+def word_bounds(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words in texts that follow one another."""
+    inside = ~_BLANK[raw]
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    ends[:-1] &= ~inside[1:]
+    border = starts[(starts > 0) & (starts < len(raw))]
+    begins[border] = inside[border]
+    ends[border - 1] = inside[border - 1]
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -83,11 +114,16 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix(out, 1)
 
 
-def words_of(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A text's bytes, and its words' starts, ends and hashes."""
-    raw = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)
-    starts, ends = word_bounds(raw)
-    return raw, starts, ends, word_hashes(raw, starts, ends)
+def words_in(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of a column of texts and where each text starts in them; starts, ends and hashes of the words; and each text's first word."""
+    raw, starts = bytes_of(texts)
+    begins, ends = word_bounds(raw, starts)
+    return raw, starts, begins, ends, word_hashes(raw, begins, ends), np.searchsorted(begins, starts)
+
+
+def words_of(text: str | None) -> np.ndarray:
+    """Hashes of a text's words."""
+    return words_in(pa.array([text], pa.string()))[4]
 
 
 def shingles(words: np.ndarray, size: int = 5) -> np.ndarray:

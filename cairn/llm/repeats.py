@@ -19,7 +19,6 @@ Spark sees both sides' sizes and can split a seed that a third of all documents
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -28,10 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.hashing import _INVERSES, _POWERS, PIECE, mix
+from cairn.llm.hashing import _INVERSES, _POWERS, PIECE, in_slices, mix
 from cairn.sources.tables import stored
 
-Symbols = Callable[[str], np.ndarray]
+#: Gives the symbols of a column of texts, one text after the other, and where each text's start; the last entry is the end.
+Symbols = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
 
 @dataclass(frozen=True)
@@ -46,119 +46,167 @@ class Shape:
     seed: int
     piece: int
 
+    @property
+    def places(self) -> int:
+        return self.length - self.seed + 1
+
 
 @dataclass(frozen=True)
 class Bundles:
-    """Of each bundle: first window, number of windows, seed hash and hash of the text it spans."""
+    """Of each bundle: its text, first window, number of windows, seed hash and hash of the text it spans."""
 
+    doc: np.ndarray
     first: np.ndarray
     count: np.ndarray
     seed: np.ndarray
     text: np.ndarray
 
 
-_NONE = Bundles(*[np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64)])
-_PLACE = 24
 #: Windows in a bundle, at most: they are told apart by the bits of a long.
 BITS = 63
 #: Different bundles of one seed that a task may compare; beyond, Spark groups them by window.
 TOGETHER = 256
 _FOLD = np.uint64(0xC2B2AE3D27D4EB4F)
+_AT = np.arange(PIECE, dtype=np.uint32)
+#: A place in a piece of symbols takes the low bits of 32.
+_PLACE = np.uint32(PIECE - 1)
 
 
-def _sums(symbols: np.ndarray) -> np.ndarray:
-    sums = np.zeros(len(symbols) + 1, np.uint64)
-    np.cumsum(symbols * _POWERS[: len(symbols)], out=sums[1:])
-    return sums
+class _Hashed:
+    """Symbols that are 64-bit hashes, named from prefix sums of a polynomial."""
 
+    def __init__(self, symbols: np.ndarray) -> None:
+        self.sums = np.zeros(len(symbols) + 1, np.uint64)
+        np.cumsum(symbols * _POWERS[: len(symbols)], out=self.sums[1:])
 
-def _names(sums: np.ndarray, at: np.ndarray, length: int, salt: int) -> np.ndarray:
-    """Hashes of the ``length`` symbols from each of ``at``."""
-    return mix((sums[at + length] - sums[at]) * _INVERSES[at], salt)
+    def names(self, at: np.ndarray, length: int) -> np.ndarray:
+        """Hashes of the ``length`` symbols from each of ``at``."""
+        return mix((self.sums[at + length] - self.sums[at]) * _INVERSES[at], 22)
 
+    def pieces(self, length: int) -> np.ndarray:
+        """32-bit hashes of all pieces."""
+        return ((self.sums[length:] - self.sums[:-length]) * _INVERSES[: len(self.sums) - length] >> np.uint64(32)).astype(np.uint32)
 
-def _window_names(sums: np.ndarray, at: np.ndarray, shape: Shape) -> np.ndarray:
-    """Names of the windows from each of ``at``, of the pair of names of their first and last symbols."""
-    return mix(_names(sums, at, shape.seed, 22), 23) ^ _names(sums, at + shape.length - shape.seed, shape.seed, 22)
 
+class _Bytes:
+    """Symbols that are bytes, named from the words of eight bytes that they make."""
+
+    def __init__(self, symbols: np.ndarray) -> None:
+        self.symbols = np.ascontiguousarray(symbols)
+
+    def _words(self, kind: type) -> np.ndarray:
+        """The number that the bytes from each place on make."""
+        size = np.dtype(kind).itemsize
+        return np.ndarray((max(0, len(self.symbols) - size + 1),), kind, self.symbols, 0, (1,))
+
+    def names(self, at: np.ndarray, length: int) -> np.ndarray:
+        words, out = self._words(np.uint64), np.zeros(len(at), np.uint64)
+        for k in (*range(0, length - 8, 8), length - 8):
+            out = mix(out ^ words[at + k], 22)
+        return out
 
-def _seed_starts(sums: np.ndarray, shape: Shape) -> np.ndarray:
+    def pieces(self, length: int) -> np.ndarray:
+        n = len(self.symbols) - length + 1
+        out = self._words(np.uint32)[:n].copy()
+        for k in range(4, length):
+            out *= np.uint32(0x85EBCA6B)
+            out += self.symbols[k : n + k]
+        return out * np.uint32(0x9E3779B1)
+
+
+def _seed_starts(pieces: np.ndarray, shape: Shape) -> np.ndarray:
     """The start of each window's seed, by window."""
-    n = len(sums) - shape.length
-    span, places = shape.length - shape.piece + 1, shape.length - shape.seed + 1
-    pieces = (sums[shape.piece :] - sums[: -shape.piece]) * _INVERSES[: len(sums) - shape.piece]
-    mask = np.uint64((1 << _PLACE) - 1)
-    least = (pieces & ~mask) | np.arange(len(pieces), dtype=np.uint64)
+    span = shape.length - shape.piece + 1
+    n = len(pieces) - span + 1
+    least = (pieces & ~_PLACE) | _AT[: len(pieces)]
     width = 1
     while width * 2 <= span:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
     least = np.minimum(least[:n], least[span - width : span - width + n])
-    start = np.arange(n)
-    return start + ((least & mask).astype(np.int64) - start) % places
-
+    ahead = (least & _PLACE) - _AT[:n]
+    return _AT[:n] + (ahead - ahead // np.uint32(shape.places) * np.uint32(shape.places))
 
-def _in_pieces(symbols: np.ndarray, shape: Shape) -> Iterator[tuple[int, np.ndarray, Bundles]]:
-    """A long text in pieces that share no window: where each starts, its sums and bundles.
 
-    Where a piece ends a bundle may be cut, which changes nothing but that its windows are compared one by one.
+def _window_names(read: _Hashed | _Bytes, at: np.ndarray, shape: Shape) -> np.ndarray:
+    """Names of the windows from each of ``at``, of the pair of names of their first and last symbols."""
+    return mix(read.names(at, shape.seed), 23) ^ read.names(at + shape.length - shape.seed, shape.seed)
+
+
+def _bundled(symbols: np.ndarray, starts: np.ndarray, first_doc: int, shape: Shape) -> tuple[_Hashed | _Bytes, Bundles]:
+    """The bundles of texts that follow one another; ``starts`` has their starts, and the end."""
+    read = _Bytes(symbols) if symbols.dtype == np.uint8 else _Hashed(symbols)
+    at = _seed_starts(read.pieces(shape.piece), shape)
+    new = np.empty(len(at), bool)
+    new[0] = True
+    np.not_equal(at[1:], at[:-1], out=new[1:])
+    if shape.places > BITS:
+        part = (at - _AT[: len(at)]) // np.uint32(BITS)
+        new[1:] |= part[1:] != part[:-1]
+    # a text's windows begin with it, and those that would reach into the next one are a bundle to be dropped
+    new[starts[:-1][starts[:-1] < len(at)]] = True
+    over = starts[1:] - shape.length + 1
+    new[over[(over > 0) & (over < len(at))]] = True
+    first = np.flatnonzero(new)
+    count = np.diff(np.append(first, len(at)))
+    doc = np.searchsorted(starts, first, "right") - 1
+    sound = first + shape.length <= starts[doc + 1]
+    first, count, doc = first[sound], count[sound], doc[sound]
+    # the text of a bundle, from its first and last window and the number of windows
+    last = _window_names(read, first + count - 1, shape)
+    text = _window_names(read, first, shape) ^ (last * np.uint64(0x9FB21C651E98DF25)) ^ (count.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return read, Bundles(doc + first_doc, first, count, read.names(at[first], shape.seed), text)
+
+
+def _in_pieces(symbols: np.ndarray, starts: np.ndarray, shape: Shape) -> Iterator[tuple[int, _Hashed | _Bytes, Bundles]]:
+    """Texts in pieces, many short ones or a part of a long one each: where a piece begins, its symbols and bundles.
+
+    The parts of a long text share no window. Where one ends a bundle may be cut, which changes nothing but
+    that its windows are compared one by one.
     """
-    step = PIECE - shape.length
-    places = shape.length - shape.seed + 1
-    for begin in range(0, len(symbols) - shape.length + 1, step):
-        sums = _sums(symbols[begin : begin + step + shape.length - 1])
-        at = _seed_starts(sums, shape)
-        new = at[1:] != at[:-1]
-        if places > BITS:
-            part = (at - np.arange(len(at))) // BITS
-            new |= part[1:] != part[:-1]
-        first = np.flatnonzero(np.concatenate(([True], new)))
-        count = np.diff(np.append(first, len(at)))
-        # the text of a bundle, from its first and last window and the number of windows
-        last = _window_names(sums, first + count - 1, shape)
-        text = _window_names(sums, first, shape) ^ (last * np.uint64(0x9FB21C651E98DF25)) ^ (count.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        yield begin, sums, Bundles(first, count, _names(sums, at[first], shape.seed, 22), text)
+    if shape.seed < 8 and symbols.dtype == np.uint8:
+        raise ValueError("strings of bytes must be so long that their seeds have 8 bytes")
+    doc, step = 0, PIECE - shape.length
+    while doc < len(starts) - 1:
+        begin = int(starts[doc])
+        after = int(np.searchsorted(starts, begin + PIECE, "right")) - 1
+        if after > doc:
+            if starts[after] - begin >= shape.length:
+                yield begin, *_bundled(symbols[begin : starts[after]], starts[doc : after + 1] - begin, doc, shape)
+            doc = after
+            continue
+        end = int(starts[doc + 1])
+        for at in range(begin, end - shape.length + 1, step):
+            part = symbols[at : min(end, at + step + shape.length - 1)]
+            yield at, *_bundled(part, np.array([0, len(part)]), doc, shape)
+        doc += 1
 
 
 def bundles(symbols: np.ndarray, shape: Shape) -> Bundles:
     """All bundles of a text."""
-    found = [Bundles(begin + b.first, b.count, b.seed, b.text) for begin, _, b in _in_pieces(symbols, shape)]
-    return Bundles(*(np.concatenate([getattr(b, f) for b in found]) for f in ("first", "count", "seed", "text"))) if found else _NONE
-
-
-def _by_document(run: Callable[[int, str], list[pa.Array] | None], names: list[str]) -> Callable:
-    """A function for mapInArrow over (doc_id, text) that joins what ``run`` gives by document."""
-
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            held, rows = [], 0
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                got = run(doc, text.as_py())
-                if got is not None and len(got[0]):
-                    held.append(got)
-                    rows += len(got[0])
-                if rows > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*held, strict=True)], names)
-                    held, rows = [], 0
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*held, strict=True)], names)
-
-    return go
+    found = [Bundles(b.doc, begin + b.first, b.count, b.seed, b.text) for begin, _, b in _in_pieces(symbols, np.array([0, len(symbols)]), shape)]
+    none = Bundles(*[np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64)])
+    return Bundles(*(np.concatenate([getattr(b, f) for b in [none, *found]]) for f in ("doc", "first", "count", "seed", "text")))
 
 
 def _signed(a: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(a).view(np.int64))
 
 
+def _ids(b: pa.RecordBatch) -> np.ndarray:
+    return b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def _bundle_rows(docs: DataFrame, symbols: Symbols, shape: Shape) -> DataFrame:
-    def run(doc: int, text: str | None) -> list[pa.Array] | None:
-        if not text or len(text.encode("utf-8", "replace")) < shape.length:
-            return None
-        found = bundles(symbols(text), shape)
-        at = np.unique(found.seed ^ (found.text * _FOLD), return_index=True)[1]
-        return [_signed(found.seed[at]), _signed(found.text[at]), pa.array(np.full(len(at), doc, np.int64))]
+    """``(seed, body, doc)`` of every bundle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in in_slices(batches):
+            ids = _ids(b)
+            for _, _, found in _in_pieces(*symbols(b.column("text")), shape):
+                yield pa.RecordBatch.from_arrays([_signed(found.seed), _signed(found.text), pa.array(ids[found.doc])], ["seed", "body", "doc"])
 
-    return docs.mapInArrow(_by_document(run, ["seed", "body", "doc"]), "seed long, body long, doc long")
+    return docs.select("doc_id", "text").mapInArrow(run, "seed long, body long, doc long")
 
 
 def sharing(docs: DataFrame, symbols: Symbols, shape: Shape) -> DataFrame:
@@ -169,10 +217,10 @@ def sharing(docs: DataFrame, symbols: Symbols, shape: Shape) -> DataFrame:
 
 
 def marked_windows(docs: DataFrame, symbols: Symbols, shape: Shape) -> DataFrame:
-    """``docs`` (no null ids) with ``marks``, bundles with repeated windows and which, as bits, and ``copied``,
-    digests of texts that a smaller id has as a whole, so that all windows are repeated.
+    """``docs`` (no null ids) with ``marks``, bundles with repeated windows and which, as bits, and ``whole``,
+    whether a smaller id has the whole text, so that all windows are repeated.
 
-    Both name what they mark by its content, so they hold wherever a document of this id has it.
+    Marks name their bundles by content, so they hold wherever a document of this id has it.
     """
     digest = F.sha2(F.col("text").cast("binary"), 256)
     texts = docs.where("text is not null").select("doc_id", "text", digest.alias("digest"))
@@ -204,23 +252,23 @@ def marked_windows(docs: DataFrame, symbols: Symbols, shape: Shape) -> DataFrame
     part = windows.join(stored(first, "firsts"), ["seed", "name"]).where("doc > first")
     part = part.groupBy("doc", "seed", "body").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("bits"))
     marks = whole.unionAll(few).unionAll(part).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("seed", "body", "bits")).alias("marks"))
-    return docs.join(marks, "doc_id", "left").join(copies, "doc_id", "left")
+    whole_copy = F.when(F.col("copied").isNotNull(), F.array_contains("copied", digest))
+    return docs.join(marks, "doc_id", "left").join(copies, "doc_id", "left").withColumn("whole", whole_copy).drop("copied")
 
 
 def _shown(symbols: Symbols, shape: Shape) -> Callable:
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            asked = b.column("asked")
-            for i, doc in enumerate(b.column("doc_id").to_pylist()):
-                wanted = asked[i].values
-                for _, sums, found in _in_pieces(symbols(b.column("text")[i].as_py()), shape):
-                    keep, place = _matching(found, wanted)
-                    if not len(keep):
-                        continue
-                    at, count = _windows_of(found, keep)
-                    names = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)).astype(np.int32)), _signed(_window_names(sums, at, shape)))
-                    many = wanted.field("many").take(pa.array(place))
-                    yield pa.RecordBatch.from_arrays([_signed(found.seed[keep]), _signed(found.text[keep]), pa.array(np.full(len(keep), doc, np.int64)), many, names], ["seed", "body", "doc", "many", "names"])
+        for b in in_slices(batches):
+            ids, wanted = _ids(b), _Wanted(b.column("asked"))
+            many = wanted.rows.field("many")
+            for _, read, found in _in_pieces(*symbols(b.column("text")), shape):
+                keep, place = wanted.matching(found)
+                if not len(keep):
+                    continue
+                at, count = _windows_of(found, keep)
+                names = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)).astype(np.int32)), _signed(_window_names(read, at, shape)))
+                doc = pa.array(ids[found.doc[keep]])
+                yield pa.RecordBatch.from_arrays([_signed(found.seed[keep]), _signed(found.text[keep]), doc, many.take(pa.array(place)), names], ["seed", "body", "doc", "many", "names"])
 
     return go
 
@@ -267,31 +315,62 @@ def _judged_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield judged(held)
 
 
-def _matching(found: Bundles, wanted: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
-    """Which bundles are among the wanted (seed, body), and which of the wanted each one is."""
-    seeds = wanted.field("seed").to_numpy(zero_copy_only=False).view(np.uint64)
-    bodies = wanted.field("body").to_numpy(zero_copy_only=False).view(np.uint64)
-    ours, theirs = found.seed ^ (found.text * _FOLD), seeds ^ (bodies * _FOLD)
-    order = np.argsort(theirs)
-    if not len(order) or not len(ours):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    place = order[np.minimum(np.searchsorted(theirs[order], ours), len(order) - 1)]
-    keep = np.flatnonzero((seeds[place] == found.seed) & (bodies[place] == found.text))
-    return keep, place[keep]
-
-
-def covered(text: str | None, symbols: np.ndarray, marks: pa.ListScalar, copied: pa.ListScalar, shape: Shape) -> np.ndarray:
-    """Whether each symbol lies in a repeated window."""
-    if copied.is_valid and hashlib.sha256((text or "").encode("utf-8", "replace")).hexdigest() in copied.as_py():
-        return np.full(len(symbols), len(symbols) >= shape.length)
-    depth = np.zeros(len(symbols) + 1, np.int64)
-    for begin, _, found in _in_pieces(symbols, shape) if marks.is_valid and len(marks) else ():
-        keep, place = _matching(found, marks.values)
-        at, count = _windows_of(found, keep)
-        bits = marks.values.field("bits").to_numpy(zero_copy_only=False)[place]
-        nth = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
-        start = begin + at[(np.repeat(bits, count) >> nth) & 1 == 1]
-        # windows of a document start at different symbols
-        depth[start] += 1
-        depth[start + shape.length] -= 1
-    return np.cumsum(depth[:-1]) > 0
+class _Wanted:
+    """Bundles (seed, body) that are looked for, by row of a column of lists."""
+
+    def __init__(self, lists: pa.ListArray) -> None:
+        self.rows = lists.flatten()
+        counts = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
+        self.doc = np.repeat(np.arange(len(lists)), counts)
+        self.seed, self.body = (self.rows.field(k).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for k in ("seed", "body"))
+        keys = self._keys(self.doc, self.seed, self.body)
+        self.order = np.argsort(keys)
+        self.keys = keys[self.order]
+
+    @staticmethod
+    def _keys(doc: np.ndarray, seed: np.ndarray, body: np.ndarray) -> np.ndarray:
+        return seed ^ (body * _FOLD) ^ mix(doc.astype(np.uint64), 25)
+
+    def matching(self, found: Bundles) -> tuple[np.ndarray, np.ndarray]:
+        """Which bundles are among the wanted of their row, and which of the wanted each one is."""
+        if not len(self.keys) or not len(found.first):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        ours = self._keys(found.doc, found.seed, found.text)
+        place = self.order[np.minimum(np.searchsorted(self.keys, ours), len(self.keys) - 1)]
+        keep = np.flatnonzero((self.seed[place] == found.seed) & (self.body[place] == found.text) & (self.doc[place] == found.doc))
+        return keep, place[keep]
+
+
+def covered(b: pa.RecordBatch, symbols: np.ndarray, starts: np.ndarray, shape: Shape) -> np.ndarray:
+    """Whether each symbol of a batch's texts lies in a repeated window; the batch has ``marks`` and ``whole``."""
+    depth = np.zeros(len(symbols) + 1, np.int32)
+    marks, whole = b.column("marks"), b.column("whole").fill_null(False).to_numpy(zero_copy_only=False)
+    long = np.diff(starts) >= shape.length
+    depth[starts[:-1][whole & long]] += 1
+    depth[starts[1:][whole & long]] -= 1
+    if len(marks.flatten()):
+        wanted = _Wanted(marks)
+        bits_of = wanted.rows.field("bits").to_numpy(zero_copy_only=False)
+        for begin, _, found in _in_pieces(symbols, starts, shape):
+            keep, place = wanted.matching(found)
+            at, count = _windows_of(found, keep)
+            nth = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
+            start = begin + at[(np.repeat(bits_of[place], count) >> nth) & 1 == 1]
+            # windows start at different symbols
+            depth[start] += 1
+            depth[start + shape.length] -= 1
+    return np.cumsum(depth[:-1], dtype=np.int32) > 0
+
+
+def runs(gone: np.ndarray, starts: np.ndarray) -> tuple[pa.ListArray, np.ndarray]:
+    """The runs of a batch's covered symbols as lists of (start, length) by text, and their total lengths."""
+    edge = np.zeros(len(gone) + 1, bool)
+    edge[1:-1] = gone[1:] != gone[:-1]
+    edge[starts] = True  # a run ends with its text
+    at = np.flatnonzero(edge[:-1])
+    first = at[gone[at]]
+    length = np.append(at[1:], len(gone))[gone[at]] - first
+    doc = np.searchsorted(starts, first, "right") - 1
+    lists = np.append(0, np.cumsum(np.bincount(doc, minlength=len(starts) - 1))).astype(np.int32)
+    spans = pa.StructArray.from_arrays([pa.array(first - starts[doc]), pa.array(length)], ["start", "length"])
+    return pa.ListArray.from_arrays(pa.array(lists), spans), np.bincount(doc, length, len(starts) - 1).astype(np.int64)

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from cairn.llm import repeats
-from cairn.llm.hashing import words_of
+from cairn.llm.hashing import in_slices, words_in
+from cairn.llm.words import count_words, set_aside
 from cairn.sources.tables import stored
 
 #: Words in a window.
@@ -29,14 +30,9 @@ def shape(window: int = WINDOW) -> repeats.Shape:
     return repeats.Shape(window, (window + 1) // 2, (window + 1) // 2)
 
 
-def _symbols(text: str) -> np.ndarray:
-    return words_of(text)[3]
-
-
-def _judged(docs: DataFrame, window: int) -> DataFrame:
-    """``docs`` with ``marks``; those with a null id have none."""
-    marked = repeats.marked_windows(docs.where("doc_id is not null"), _symbols, shape(window))
-    return marked.unionByName(docs.where("doc_id is null"), allowMissingColumns=True)
+def _symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    _, _, _, _, words, first = words_in(texts)
+    return words, first
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -46,31 +42,35 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     doc_id, judged on the input. ``spans`` are the removed runs (start, length in words) and
     ``kept_text`` the kept words joined by blanks. A null text has no words. A row with a null doc_id
     is neither judged nor a source; rows of one doc_id count as one document and each loses the
-    same windows. Other columns pass through; those
+    same windows. A very long text is worked through in pieces. No rows give no result. Other columns pass through; those
     with the new names are replaced.
     """
-    docs = docs.drop("n_words", "n_removed", "spans", "kept_text", "marks", "copied")
+    docs, restored = set_aside(docs.drop("n_words", "n_removed", "spans", "kept_text"), ["marks", "copied", "whole"])
     others = [f for f in docs.schema if f.name != "text"]
     names = [f.name for f in others]
-    span = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))
+    marked = repeats.marked_windows(docs.where("doc_id is not null"), _symbols, shape(window))
+    marked = marked.unionByName(docs.where("doc_id is null"), allowMissingColumns=True)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for text, marks, copied in zip(b.column("text"), b.column("marks"), b.column("copied"), strict=True):
-                raw, starts, ends, words = words_of(text.as_py())
-                gone = repeats.covered(text.as_py(), words, marks, copied, shape(window))
-                edge = np.diff(np.concatenate(([False], gone, [False])).astype(np.int8))
-                spans = [{"start": s, "length": e - s} for s, e in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True)]
-                data = raw.tobytes()
-                kept = b" ".join([data[starts[k] : ends[k]] for k in np.flatnonzero(~gone).tolist()]).decode()
-                out.append((len(words), int(gone.sum()), spans, kept))
-            n, removed, spans, kept = zip(*out, strict=True) if out else ((), (), (), ())
-            found = [pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, span), pa.array(kept, pa.string())]
-            yield pa.RecordBatch.from_arrays([*map(b.column, names), *found], [*names, "n_words", "n_removed", "spans", "kept_text"])
-
-    schema = StructType([*others, *StructType.fromDDL("n_words long, n_removed long, spans array<struct<start:int,length:int>>, kept_text string").fields])
-    return _judged(docs, window).mapInArrow(cut, schema)
+        for b in in_slices(batches):
+            raw, starts, begins, ends, words, first = words_in(b.column("text"))
+            gone = repeats.covered(b, words, first, shape(window))
+            spans, removed = repeats.runs(gone, first)
+            begins, ends = begins[~gone], ends[~gone]
+            # a blank before each kept word but the first of its text, in place of the byte before it
+            following = np.flatnonzero(np.diff(np.searchsorted(starts, begins, "right"), prepend=0) == 0)
+            edge = np.zeros(len(raw) + 1, np.int8)
+            edge[begins] += 1
+            edge[ends] -= 1
+            keep = np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
+            raw, blank = raw.copy(), begins[following] - 1
+            raw[blank], keep[blank] = 32, True
+            left = np.append(0, np.cumsum(keep))[starts].astype(np.int32)
+            kept = pa.Array.from_buffers(pa.string(), b.num_rows, [None, pa.py_buffer(left), pa.py_buffer(raw[keep])])
+            yield pa.RecordBatch.from_arrays([*map(b.column, names), pa.array(np.diff(first)), pa.array(removed), spans, kept], [*names, "n_words", "n_removed", "spans", "kept_text"])
+
+    schema = StructType([*others, *StructType.fromDDL("n_words long, n_removed long, spans array<struct<start:long,length:long>>, kept_text string").fields])
+    return restored(marked.mapInArrow(cut, schema))
 
 
 def longest_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -82,7 +82,7 @@ def longest_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         shared = stored(repeats.sharing(left, _symbols, shape(length)), "sharing")
         left = texts.join(shared, "doc_id", "left_semi")
         marked = repeats.marked_windows(left, _symbols, shape(length))
-        copy = F.array_contains("copied", F.sha2(F.col("text").cast("binary"), 256)) & (F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")) >= length)
+        copy = F.col("whole") & (count_words(F.col("text")) >= length)
         hit = stored(marked.where(F.col("marks").isNotNull() | F.coalesce(copy, F.lit(False))).select("doc_id", F.lit(length).alias("longest")), "longest")
         if hit.limit(1).count() == 0:
             break

@@ -17,47 +17,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from cairn.llm import repeats
-from cairn.llm.hashing import _OF_BYTE
+from cairn.llm.hashing import bytes_of, in_slices
 
 #: Bytes in a string.
 LENGTH = 50
 
 
 def shape(length: int = LENGTH) -> repeats.Shape:
-    return repeats.Shape(length, length * 28 // 50, min(5, length))
-
-
-def _bytes(text: str | None) -> np.ndarray:
-    return np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)
-
-
-def _symbols(text: str) -> np.ndarray:
-    return _OF_BYTE[_bytes(text)]
+    return repeats.Shape(length, length * 28 // 50, 5)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``doc_id, n_bytes, n_removed, spans, kept`` per row of ``docs``.
 
-    A byte of the UTF-8 text goes if it lies in ``length`` bytes that also start in a document with a
+    A byte of the UTF-8 text goes if it lies in ``length`` bytes (15 at least) that also start in a document with a
     smaller doc_id, judged on the input; matches never cross documents. ``spans`` are the maximal removed
     runs and ``kept`` the other bytes, which may cut a character. A null text has no bytes. A row with a
-    null doc_id is neither judged nor a source; rows of one doc_id count as one document. Columns but
-    ``doc_id`` and ``text`` are left out.
+    null doc_id is neither judged nor a source; rows of one doc_id count as one document. A very long text is worked through
+    in pieces. No rows give no result. Columns but ``doc_id`` and ``text`` are left out.
     """
-    marked = repeats.marked_windows(docs.where("doc_id is not null").select("doc_id", "text"), _symbols, shape(length))
-    marked = marked.unionByName(docs.where("doc_id is null").select("doc_id", "text"), allowMissingColumns=True)
-    fields = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))), ("kept", pa.binary())])
+    docs = docs.select("doc_id", "text")
+    marked = repeats.marked_windows(docs.where("doc_id is not null"), bytes_of, shape(length))
+    marked = marked.unionByName(docs.where("doc_id is null"), allowMissingColumns=True)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for i, doc in enumerate(b.column("doc_id").to_pylist()):
-                text = b.column("text")[i].as_py()
-                raw = _bytes(text)
-                gone = repeats.covered(text, _OF_BYTE[raw], b.column("marks")[i], b.column("copied")[i], shape(length))
-                edge = np.diff(np.concatenate(([False], gone, [False])).astype(np.int8))
-                spans = [{"start": s, "length": e - s} for s, e in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True)]
-                out.append({"doc_id": doc, "n_bytes": len(raw), "n_removed": int(gone.sum()), "spans": spans, "kept": raw[~gone].tobytes()})
-            yield pa.RecordBatch.from_pylist(out, fields)
+        for b in in_slices(batches):
+            raw, starts = bytes_of(b.column("text"))
+            gone = repeats.covered(b, raw, starts, shape(length))
+            spans, removed = repeats.runs(gone, starts)
+            left = np.append(0, np.cumsum(np.diff(starts) - removed)).astype(np.int32)
+            kept = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(left), pa.py_buffer(np.ascontiguousarray(raw[~gone]))])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(starts)), pa.array(removed), spans, kept], ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
     return marked.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,length:long>>, kept binary")
