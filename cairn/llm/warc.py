@@ -5,10 +5,11 @@ coding, or, where another page has the same payload, a revisit record. A block a
 is cut: the first segment stays in the response record and the rest goes to continuation records that
 name the response as their origin. Spark's text writer puts the records into compressed files.
 
-Reading: files are split at the version line that opens each record, so a file streams through a
-task whatever its size. Record headers and lengths are checked; segments of one origin, and only
-those, are shuffled, ordered by number, held against the total length and then decoded. Revisits get
-the payload's figures from the record they refer to.
+Reading: files are split wherever a version line may begin, so a file streams through a task whatever
+its size, and a record goes on over what its Content-Length covers, version lines in it too. Header names
+may be in any case. Segments of one origin, and only those, are shuffled, ordered by number, held
+against the total length and then decoded. Revisits get the payload's figures from the response that they name,
+or else that has their payload digest.
 """
 
 from __future__ import annotations
@@ -16,14 +17,20 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
-from collections.abc import Callable, Iterator
+from collections import deque
+from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-STEM = "WARC/1.1"
-VERSION = f"{STEM}\r\n"
+from cairn.sources.tables import stored
+
+VERSION = "WARC/1.1\r\n"
+#: What files are split at; the version's last digit and line end follow.
+STEM = "WARC/1."
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Characters of a block in one segment, and bytes in one chunk of the transfer coding.
 SEGMENT, CHUNK = 16_384, 4_096
 EMPTY_TYPE = "none"
@@ -36,16 +43,8 @@ def digest32(payload: bytes) -> str:
 
 
 def encode_chunked(payload: str, size: int = CHUNK) -> str:
-    """``payload`` in chunked transfer coding; no chunk holds the words of a version line."""
-    parts = []
-    for start in range(0, len(payload), size):
-        piece = payload[start : start + size]
-        while STEM in piece:
-            cut = piece.index(STEM) + 4
-            parts.append(piece[:cut])
-            piece = piece[cut:]
-        parts.append(piece)
-    # over a border of two chunks they have the chunk's frame within them
+    """``payload`` in chunked transfer coding, chunks of ``size`` characters."""
+    parts = [payload[at : at + size] for at in range(0, len(payload), size)]
     return "".join(f"{len(p.encode()):x}\r\n{p}\r\n" for p in parts) + "0\r\n\r\n"
 
 
@@ -89,27 +88,25 @@ def _clean(value: str | None) -> str:
     return "".join(c if c.isprintable() else "%20" for c in value or "about:blank")
 
 
-def _records_of(page_id: int | None, url: str | None, html: str | None, refers_to: int | None, segment: int) -> Iterator[str]:
+def _records_of(page_id: int | None, url: str | None, html: str | None, refers_to: int | None, segment: int, date: str) -> Iterator[str]:
     payload = html or ""
-    name = f"<urn:page:{'' if page_id is None else page_id}>"
-    chain = f"<urn:uuid:{uuid.uuid4()}>"  # repeated or null ids still have chains of their own
-    common = {"WARC-Target-URI": _clean(url), "WARC-Payload-Digest": f"sha1:{digest32(payload.encode())}"}
+    name = f"<urn:page:{'' if page_id is None else page_id}:{uuid.uuid4()}>"  # repeated or null ids still have records of their own
+    common = {"WARC-Record-ID": name, "WARC-Date": date, "WARC-Target-URI": _clean(url), "WARC-Payload-Digest": f"sha1:{digest32(payload.encode())}"}
     if refers_to is not None:
-        yield _record({"WARC-Type": "revisit", "WARC-Record-ID": name, "WARC-Refers-To": f"<urn:page:{refers_to}>"} | common, "")
+        yield _record({"WARC-Type": "revisit"} | common | {"WARC-Profile": PROFILE}, "")
         return
+    common |= {"Content-Type": "application/http; msgtype=response"}
     block = HEAD.decode() + encode_chunked(payload)
-    pieces, at = [], 0
-    while at < len(block) or not pieces:
-        pieces.append(block[at : at + segment])
-        at += segment
-    if len(pieces) == 1:
-        yield _record({"WARC-Type": "response", "WARC-Record-ID": name} | common, block)
+    if len(block) <= segment:
+        yield _record({"WARC-Type": "response"} | common, block)
         return
-    yield _record({"WARC-Type": "response", "WARC-Record-ID": name, "WARC-Segment-Number": 1, "WARC-Segment-Origin-ID": chain} | common, pieces[0])
+    pieces = [block[at : at + segment] for at in range(0, len(block), segment)]
+    yield _record({"WARC-Type": "response"} | common | {"WARC-Segment-Number": 1}, pieces[0])
     total = len(block.encode())
     for n, piece in enumerate(pieces[1:], 2):
+        own = {"WARC-Type": "continuation", "WARC-Record-ID": f"<urn:uuid:{uuid.uuid4()}>", "WARC-Date": date, "WARC-Target-URI": common["WARC-Target-URI"]}
         last = {"WARC-Segment-Total-Length": total} if n == len(pieces) else {}
-        yield _record({"WARC-Type": "continuation", "WARC-Record-ID": f"{chain[:-1]}:{n}>", "WARC-Segment-Origin-ID": chain, "WARC-Segment-Number": n} | last, piece)
+        yield _record(own | {"WARC-Segment-Origin-ID": name, "WARC-Segment-Number": n} | last, piece)
 
 
 def plan_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
@@ -127,11 +124,13 @@ def plan_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
     return pages.join(shared, on, "left").drop("_page", "_key").withColumnRenamed("_latest", "refers_to")
 
 
-def write_warc(pages: DataFrame, path: str, least: int = 0, segment: int = SEGMENT) -> None:
-    """Writes ``pages`` (page_id, url, html) as gzip-compressed archives under ``path``.
+def write_warc(pages: DataFrame, path: str, least: int = 0, segment: int = SEGMENT, dated: datetime | None = None) -> None:
+    """Writes ``pages`` (page_id, url, html) as gzip-compressed archives under ``path``, one gzip member each.
 
-    A null payload is empty, a null URL is ``about:blank``; other columns are left out.
+    A null payload is empty, a null URL is ``about:blank``; other columns are left out. Each row is a record of its
+    own, repeated ones too. A very long payload goes into many segments. Records carry the date ``dated``, by default now.
     """
+    date = (dated or datetime.now(UTC)).strftime("%Y-%m-%dT%H:%M:%SZ")
     planned = plan_revisits(pages.select("page_id", "url", "html"), least)
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +139,7 @@ def write_warc(pages: DataFrame, path: str, least: int = 0, segment: int = SEGME
             size = 0
             columns = [b.column(k) for k in ("page_id", "url", "html", "refers_to")]
             for i in range(b.num_rows):
-                for record in _records_of(*(c[i].as_py() for c in columns), segment=segment):
+                for record in _records_of(*(c[i].as_py() for c in columns), segment=segment, date=date):
                     out.append(record)
                     size += len(record)
                 if size > 4_000_000:
@@ -151,87 +150,146 @@ def write_warc(pages: DataFrame, path: str, least: int = 0, segment: int = SEGME
     planned.mapInArrow(records, "value string").write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
 
 
-_PARTS = pa.schema([
-    ("record_id", pa.string()), ("record_type", pa.string()), ("refers_to_id", pa.string()), ("url", pa.string()), ("digest", pa.string()),
-    ("origin", pa.string()), ("segment", pa.int64()), ("total", pa.int64()), ("sound", pa.bool_()), ("block", pa.binary()),
-])
-_PARTS_DDL = "record_id string, record_type string, refers_to_id string, url string, digest string, origin string, segment long, total long, sound boolean, block binary"
 _NAMED = ["record_id", "record_type", "refers_to_id", "url", "digest"]
-_WHOLE = pa.schema([*(_PARTS.field(k) for k in _NAMED), ("complete", pa.bool_()), ("bytes", pa.int64()), ("found", pa.string()), ("payload", pa.binary())])
-_WHOLE_DDL = "record_id string, record_type string, refers_to_id string, url string, digest string, complete boolean, bytes long, found string, payload binary"
+_FIELDS = {
+    "record_id": pa.string(), "record_type": pa.string(), "refers_to_id": pa.string(), "url": pa.string(), "digest": pa.string(), "origin": pa.string(), "segment": pa.int64(), "total": pa.int64(),
+    "sound": pa.bool_(), "block": pa.binary(), "complete": pa.bool_(), "bytes": pa.int64(), "found": pa.string(), "payload": pa.binary(),
+}
+_DDL = {pa.string(): "string", pa.int64(): "long", pa.bool_(): "boolean", pa.binary(): "binary"}
+_PARTS = [*_NAMED, "origin", "segment", "total", "sound", "block"]
+_WHOLE = [*_NAMED, "complete", "bytes", "found", "payload"]
+
+
+def _schema(names: list[str]) -> tuple[pa.Schema, str]:
+    return pa.schema([(k, _FIELDS[k]) for k in names]), ", ".join(f"{k} {_DDL[_FIELDS[k]]}" for k in names)
+
+
 #: Bytes of records that a task turns into one batch.
 SLICE = 4_000_000
 
 
-def _parse(piece: bytes) -> dict | None:
-    """Fields of a record that follows its version line; ``sound`` if its length is as declared."""
-    head, mark, rest = piece.partition(b"\r\n\r\n")
-    if not mark:
-        return None
-    fields = {}
-    for line in head.split(b"\r\n"):
-        k, _, v = line.partition(b":")
-        fields[k.strip().lower().decode("latin-1")] = v.strip().decode("utf-8", "replace")
-    number = lambda k: int(fields[k]) if fields.get(k, "").isdigit() else None
-    length = number("content-length")
+def _fields(head: bytes) -> dict[str, str]:
+    pairs = (line.partition(b":") for line in head.split(b"\r\n")[1:])
+    return {k.strip().lower().decode("latin-1"): v.strip().decode("utf-8", "replace") for k, _, v in pairs}
+
+
+def _number(fields: dict[str, str], key: str) -> int | None:
+    return int(fields[key]) if fields.get(key, "").isascii() and fields.get(key, "").isdigit() else None
+
+
+def _parts(fields: dict[str, str], rest: bytes, length: int | None) -> dict:
+    """A record's fields and block; ``sound`` if that is as long as declared. A first segment's origin is itself."""
+    segment = _number(fields, "warc-segment-number")
     return {
         "record_id": fields.get("warc-record-id"), "record_type": fields.get("warc-type", EMPTY_TYPE), "refers_to_id": fields.get("warc-refers-to"),
         "url": fields.get("warc-target-uri"), "digest": fields.get("warc-payload-digest", "").removeprefix("sha1:") or None,
-        "origin": fields.get("warc-segment-origin-id"), "segment": number("warc-segment-number"), "total": number("warc-segment-total-length"),
+        "origin": fields.get("warc-segment-origin-id") or (fields.get("warc-record-id") if segment is not None else None),
+        "segment": segment, "total": _number(fields, "warc-segment-total-length"),
         "sound": length is not None and len(rest) >= length, "block": rest[:length] if length is not None else rest,
     }
 
 
+def _records(pieces: Iterator[tuple[str, bytes]]) -> Iterator[dict]:
+    """Records from pieces (file, text after a stem), those of one file in order.
+
+    A record takes as many pieces as its Content-Length covers. If its end isn't where it should be
+    then, or the file ends before, the first piece alone is a damaged record and reading goes on after it.
+    """
+    held: deque[bytes] = deque()
+    need = None  # length of the record that opens, if its head has been read
+    fields: dict[str, str] = {}
+    size = 0
+    stem = STEM.encode()
+
+    def opened(last: bool) -> Iterator[dict]:
+        nonlocal need, fields, size
+        while held:
+            whole = None
+            if held[0][:3] not in (b"0\r\n", b"1\r\n"):  # not a version line
+                held.popleft()
+                need, size = None, sum(map(len, held)) + len(stem) * len(held)
+                continue
+            if need is None:
+                whole = held[0] if len(held) == 1 else stem.join(held)
+                end = whole.find(b"\r\n\r\n")
+                if end >= 0:
+                    fields = _fields(whole[:end])
+                    need = end + 4 + (_number(fields, "content-length") or 0)
+            if need is not None and size - len(stem) >= need:
+                whole = stem.join(held) if whole is None else whole
+                if len(held) > 1 and whole[need : need + 4] not in (b"\r\n\r\n", b"\r\n", b""):
+                    whole = held[0]
+                yield from cut(whole)
+                if whole is held[0] or len(held) == 1:
+                    held.popleft()
+                else:
+                    held.clear()
+            elif last:
+                yield from cut(held.popleft())
+            else:
+                return
+            need, size = None, sum(map(len, held)) + len(stem) * len(held)
+
+    def cut(whole: bytes) -> Iterator[dict]:
+        _, mark, rest = whole.partition(b"\r\n\r\n")
+        if mark:
+            yield _parts(fields, rest, _number(fields, "content-length"))
+
+    of = None
+    for file, piece in pieces:
+        if file != of:
+            yield from opened(True)
+            of = file
+        held.append(piece)
+        size += len(piece) + len(stem)
+        yield from opened(False)
+    yield from opened(True)
+
+
 def _whole(record: dict, keep: bool) -> dict:
     """A record's figures: its payload's size and digest, and whether all is as declared."""
     payload = payload_of(record["block"]) if record["record_type"] == "response" and record["sound"] else None
     found = None if payload is None else digest32(payload)
-    complete = record["sound"] and (record["record_type"] != "response" or (payload is not None and record["digest"] in (None, found)))
+    sound = record["sound"] and record["record_type"] != "continuation"
+    complete = sound and (record["record_type"] != "response" or (payload is not None and record["digest"] in (None, found)))
     return {k: record[k] for k in _NAMED} | {"complete": complete, "bytes": None if payload is None else len(payload), "found": found, "payload": payload if keep else None}
 
 
-def _in_slices(batches: Iterator[pa.RecordBatch], make: Callable[[pa.RecordBatch, int], tuple[dict | None, int]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        out, size = [], 0
-        for i in range(b.num_rows):
-            row, n = make(b, i)
-            if row is not None:
-                out.append(row)
-                size += n
-            if size > SLICE:
-                yield pa.RecordBatch.from_pylist(out, schema)
-                out, size = [], 0
-        yield pa.RecordBatch.from_pylist(out, schema)
+def _in_slices(rows: Iterator[tuple[dict, int]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    out, size = [], 0
+    for row, n in rows:
+        out.append(row)
+        size += n
+        if size > SLICE or len(out) >= 10_000:
+            yield pa.RecordBatch.from_pylist(out, schema)
+            out, size = [], 0
+    yield pa.RecordBatch.from_pylist(out, schema)
 
 
-def _pieces(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("lineSep", VERSION).text(path).select(F.col("value").cast("binary").alias("value"))
+def read_records(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """One row per record: of one in several segments each with its ``block``, of others the payload's figures.
 
-
-def read_segments(spark: SparkSession, path: str) -> DataFrame:
-    """One row per segment of the records that the archives hold in several."""
+    Compressed files are read by one task each. Files that aren't may be split among tasks, which can break a record
+    that holds a version line within; it is then given as incomplete.
+    """
+    schema, ddl = _schema([*_PARTS, "complete", "bytes", "found", "payload"])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def make(b: pa.RecordBatch, i: int) -> tuple[dict | None, int]:
-            got = _parse(b.column(0)[i].as_py())
-            return (got, len(got["block"])) if got and got["origin"] is not None else (None, 0)
-
-        return _in_slices(batches, make, _PARTS)
+        def rows() -> Iterator[tuple[dict, int]]:
+            pieces = ((f, v.as_py()) for b in batches for f, v in zip(b.column("file").to_pylist(), b.column("value"), strict=True))
+            for record in _records(pieces):
+                n = len(record["block"])
+                yield (record, n) if record["origin"] is not None else (record | _whole(record, payloads) | {"block": None}, n)
 
-    return _pieces(spark, path).where(F.expr("instr(decode(value, 'ISO-8859-1'), 'Segment-Origin-ID:') > 0")).mapInArrow(parse, _PARTS_DDL)
+        yield from _in_slices(rows(), schema)
 
+    pieces = spark.read.option("lineSep", STEM).text(path).select(F.col("_metadata.file_name").alias("file"), F.col("value").cast("binary").alias("value"))
+    return pieces.mapInArrow(parse, ddl)
 
-def read_whole(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """One row per record that the archives hold in one piece."""
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def make(b: pa.RecordBatch, i: int) -> tuple[dict | None, int]:
-            got = _parse(b.column(0)[i].as_py())
-            return (_whole(got, payloads), len(got["block"])) if got and got["origin"] is None else (None, 0)
-
-        return _in_slices(batches, make, _WHOLE)
-
-    return _pieces(spark, path).mapInArrow(parse, _WHOLE_DDL)
+def read_segments(spark: SparkSession, path: str) -> DataFrame:
+    """One row per segment of the records that the archives hold in several."""
+    return read_records(spark, path, False).where("origin is not null").select(*_PARTS)
 
 
 def reassemble(segments: DataFrame, payloads: bool = True) -> DataFrame:
@@ -239,44 +297,51 @@ def reassemble(segments: DataFrame, payloads: bool = True) -> DataFrame:
 
     ``complete`` is false, and the payload null, if a segment is missing or doubled, a length
     differs from what was declared, or the transfer coding is broken. Segments without a first
-    one make a row of type ``continuation``.
+    one make a row of type ``continuation`` that isn't complete.
     """
     cut = segments.groupBy("origin").agg(
         F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("segments"),
-        *[F.min_by(c, "segment").alias(c) for c in _NAMED], F.max("total").alias("total"), F.bool_and("sound").alias("sound"),
+        *[F.min_by(c, "segment").alias(c) for c in _NAMED[1:]], F.max("total").alias("total"), F.bool_and("sound").alias("sound"),
     )
     numbers = F.col("segments")["segment"]
-    joined = cut.withColumn("block", F.aggregate(F.col("segments")["block"], F.lit(b""), lambda a, x: F.concat(a, x)))
+    joined = cut.withColumn("block", F.array_join(F.col("segments")["block"].cast("array<string>"), "").cast("binary")).withColumnRenamed("origin", "record_id")
     in_order = numbers == F.sequence(F.lit(1).cast("long"), F.size(numbers).cast("long"))
     as_long = F.coalesce(F.octet_length("block") == F.col("total"), F.lit(False))
     joined = joined.select(*_NAMED, (F.col("sound") & in_order & as_long).alias("sound"), "block")
 
+    schema, ddl = _schema(_WHOLE)
+
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def make(b: pa.RecordBatch, i: int) -> tuple[dict, int]:
-            got = {k: b.column(k)[i].as_py() for k in (*_NAMED, "sound", "block")}
-            return _whole(got, payloads), len(got["block"])
+        def rows() -> Iterator[tuple[dict, int]]:
+            for b in batches:
+                for i in range(b.num_rows):
+                    got = {k: b.column(k)[i].as_py() for k in (*_NAMED, "sound", "block")}
+                    yield _whole(got, payloads), len(got["block"])
 
-        return _in_slices(batches, make, _WHOLE)
+        yield from _in_slices(rows(), schema)
 
-    return joined.mapInArrow(decode, _WHOLE_DDL)
+    return joined.mapInArrow(decode, ddl)
 
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """The archives' responses and revisits as pages.
+    """The archives' responses and revisits as pages, read once and stored.
 
     ``page_id, url, record_type, refers_to, payload_bytes, payload_digest, complete, payload``; a
     revisit has no payload of its own but the figures of the one it refers to. A response's
-    figures are taken from its payload again, which is left null unless ``payloads``.
+    figures are taken from its payload again, which is left null unless ``payloads``. Continuations without a first
+    segment give one row of type ``continuation`` that isn't complete. Records of other types, and no archives, give no rows.
+    ``page_id`` is null for records that another program named.
     """
-    page = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^<urn:page:(-?[0-9]+)>$', 1) as bigint)")
-    records = read_whole(spark, path, payloads).unionByName(reassemble(read_segments(spark, path), payloads))
-    records = records.select(page("record_id").alias("page_id"), "url", "record_type", page("refers_to_id").alias("refers_to"), "digest", "complete", "bytes", "found", "payload")
+    page = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^<urn:page:(-?[0-9]+):', 1) as bigint)")
+    read = stored(read_records(spark, path, payloads), "records")
+    records = read.where("origin is null").select(*_WHOLE).unionByName(reassemble(read.where("origin is not null").select(*_PARTS), payloads))
+    records = records.withColumn("page_id", page("record_id")).withColumnsRenamed({"bytes": "payload_bytes", "found": "payload_digest"})
     out = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "complete", "payload"]
-    responses = records.where("record_type = 'response'")
-    answers = responses.withColumnsRenamed({"bytes": "payload_bytes", "found": "payload_digest"}).select(*out)
-    # a revisit's origin is named by id and digest, for an id can be repeated
-    origins = responses.where("complete").groupBy(F.col("page_id").alias("_id"), F.col("found").alias("_digest")).agg(F.max("bytes").alias("payload_bytes"))
-    revisits = records.where("record_type = 'revisit'").drop("bytes", "found", "payload")
-    found = revisits.join(origins, (F.col("refers_to") == F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
-    found = found.withColumns({"complete": F.col("complete") & F.col("payload_bytes").isNotNull(), "payload_digest": F.col("digest"), "payload": F.lit(None).cast("binary")})
-    return answers.unionByName(found.select(*out))
+    responses = records.where("record_type in ('response', 'continuation')").withColumn("refers_to", F.lit(None).cast("long"))
+    by_digest = F.concat(F.lit("sha1:"), "payload_digest")
+    origins = responses.where("complete").select(F.explode(F.array("record_id", by_digest)).alias("name"), "page_id", "payload_bytes").where("name is not null")
+    origins = origins.groupBy("name").agg(F.max("page_id").alias("refers_to"), F.max("payload_bytes").alias("n"))
+    revisits = records.where("record_type = 'revisit'").withColumn("name", F.coalesce("refers_to_id", F.concat(F.lit("sha1:"), "digest")))
+    found = revisits.join(origins, "name", "left")
+    found = found.withColumns({"complete": F.col("complete") & F.col("n").isNotNull(), "payload_bytes": F.col("n"), "payload_digest": F.col("digest"), "payload": F.lit(None).cast("binary")})
+    return responses.select(*out).unionByName(found.select(*out))
