@@ -36,8 +36,8 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def listed_hosts(pages: DataFrame) -> DataFrame:
-    """Dated list entries made from the hosts, parent domains and paths that the pages have."""
-    keys = pages.select(F.explode(url_filters.keys_of(F.col("url"), 1)).alias("key")).distinct()
+    """Dated list entries made from the hosts, parent domains and paths that the pages have, for there is no table of lists."""
+    keys = pages.select(F.explode(url_filters.keys_of(F.col("url"), 1_000)).alias("key")).distinct()
     n = F.conv(F.substring(F.md5(F.col("key").cast("binary")), 1, 6), 16, 10).cast("int")
     first = F.lit("2024-01-01").cast("date")
     keys = keys.withColumn("n", n).where("n % 5 < 2")
@@ -47,7 +47,7 @@ def listed_hosts(pages: DataFrame) -> DataFrame:
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """Pages with a fetch date spread over 2024 by their id."""
+    """Pages with a fetch date spread over 2024 by their id, for the table has none."""
     return pages.select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") * 37 % 366).cast("int")).alias("fetched"))
 
 
@@ -134,15 +134,13 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)""",
     "op7_url_filters": r"""
 WITH parsed AS (SELECT DISTINCT page_id, url,
-  nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '\.$', ''), '') AS host,
+  nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)', 1)), '\.$', ''), '') AS host,
   list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda p: p <> '') AS parts FROM pages),
 keyed AS (SELECT page_id, url, list_distinct(list_concat(
-  list_transform(range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.')),
-  list_transform(range(1, least(len(parts), 3) + 1), lambda i: host || '/' || array_to_string(parts[1:i], '/')))) AS keys,
-  list_distinct(list_concat(
-  list_transform(range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.')),
-  list_transform(range(1, least(len(parts), 1) + 1), lambda i: host || '/' || array_to_string(parts[1:i], '/')))) AS short FROM parsed WHERE host IS NOT NULL),
-listable AS (SELECT key, CAST('0x' || substr(md5(key), 1, 6) AS BIGINT) AS n FROM (SELECT DISTINCT unnest(short) AS key FROM keyed) WHERE CAST('0x' || substr(md5(key), 1, 6) AS BIGINT) % 5 < 2),
+  CASE WHEN regexp_matches(host, '^(\[.*|([0-9]+\.){3}[0-9]+)$') THEN [host] ELSE
+  list_transform(range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.')) END,
+  list_transform(range(1, len(parts) + 1), lambda i: host || '/' || array_to_string(parts[1:i], '/')))) AS keys FROM parsed WHERE host IS NOT NULL),
+listable AS (SELECT key, CAST('0x' || substr(md5(key), 1, 6) AS BIGINT) AS n FROM (SELECT DISTINCT unnest(keys) AS key FROM keyed) WHERE CAST('0x' || substr(md5(key), 1, 6) AS BIGINT) % 5 < 2),
 entries AS (
   SELECT n, key, n % 200 AS day, true AS listed FROM listable
   UNION ALL SELECT n, key, n % 200 + 60, false FROM listable WHERE n % 3 < 2

@@ -376,6 +376,12 @@ def test_url_filters(spark):
     no = (False, None, 0)
     assert got == {1: no, 2: hit("c1"), 3: hit("c1"), 4: no, 5: hit("c2"), 6: hit("c3"), 7: no, 8: no, 9: no, 10: no, None: hit("c1")}
     assert url_filters.filter_urls(df, entries.limit(0)).where("blocked").count() == 0
+    deep = spark.createDataFrame([("ads", "h.com/a/b/c/d", "c"), ("ads", "3.4", "c"), ("ads", "1.2.3.4", "ip"), ("ads", "[::1]", "six")], "list string, key string, category string").withColumns({"dated": F.lit("2020-01-01").cast("date"), "listed": F.lit(True)})
+    urls = ["http://h.com/a/b/c/d/e", "http://h.com/a/b/c", "http://1.2.3.4/x", "http://5.2.3.4/x", "http://u@[::1]:80/", "http://h.com/" + "p/" * 20_000]
+    asked = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("fetched", F.lit("2024-01-01").cast("date"))
+    assert {r["page_id"]: r["key"] for r in url_filters.filter_urls(asked, deep).collect()} == {0: "h.com/a/b/c/d", 1: None, 2: "1.2.3.4", 3: None, 4: "[::1]", 5: None}
+    many = spark.range(3_000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://x.com/"), "id").alias("url"), F.lit("2024-01-20").cast("date").alias("fetched"))
+    assert url_filters.filter_urls(many, entries).where("blocked and n_entries = 1").count() == 3_000
     assert url_filters.filter_urls(df.limit(0), entries).count() == 0
 
 
