@@ -1,24 +1,25 @@
 """Language identification by nearest centroid.
 
 A text is a vector of hashed character n-grams weighed by TF-IDF and of length 1. Spark picks a
-bounded sample of labelled texts per language and turns it into vectors on the executors; the
-vectors are clustered into a few centroids per language by spherical k-means. Any text then gets the
+bounded sample of labelled texts per language and turns it into vectors on the executors, where each
+language's are clustered into a few centroids by spherical k-means. Any text then gets the
 language of the centroid with the largest cosine, and is rejected if even that one is far away.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructType
 
+from cairn.llm.sampling import least_hashed
+from cairn.sources.tables import stored
+
 #: Length of a vector (a power of two).
 SIZE = 1 << 13
 #: Texts per language that are learned from, at most; centroids per language; k-means rounds.
@@ -26,13 +27,17 @@ SAMPLE, CENTROIDS, ROUNDS = 300, 4, 12
 #: A text is rejected if its cosine to the nearest centroid is below this share of the sample's least.
 REJECT = 0.5
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
 #: Of the ASCII characters, letters stay and all else becomes a blank.
 PLAIN = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 #: Bytes hashed at once.
 BLOCK = 1 << 20
 
 
+def has_letter(text: str) -> bool:
+    """Whether a text has a letter of any script; digits, fractions and numerals aren't letters."""
+    return any(map(str.isalpha, text))
+
+
 def features(text: str, size: int = SIZE) -> np.ndarray:
     """Counts of hashed n-grams of one to three bytes over the lower-case text; what isn't a letter is blank."""
     raw = np.frombuffer(b" " + b" ".join(text.lower().encode("utf-8", "replace").translate(PLAIN).split()) + b" ", np.uint8)
@@ -92,47 +97,55 @@ def _clusters(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, size: int = SIZE) -> Centroids:
-    """Learns from rows ``(key, text, lang)``: of each language the ``sample`` rows whose keys hash least.
+    """Learns from rows ``(key, text, lang)``: of each language the ``sample`` keys that hash least.
 
-    Null texts or languages and texts without a letter are left out. The driver gets ``sample``
-    vectors of ``size`` floats per language.
+    Null keys, texts or languages and texts without a letter are left out, as are other columns. A language's vectors meet
+    in one task, ``sample`` times ``size`` floats; the driver gets a language's ``centroids`` and document frequencies.
     """
-    sound = labelled.where("text is not null and lang is not null").select("text", "lang", F.xxhash64("key", "text").alias("_h"))
-    sound = sound.where(F.col("text").rlike(r"\p{L}"))
-    # the smallest hashes of each language are found on keys alone, then their texts
-    nth = F.row_number().over(W.partitionBy("lang").orderBy("_h"))
-    picked = sound.select("lang", "_h").distinct().withColumn("_n", nth).where(F.col("_n") <= sample).drop("_n")
-    rows = sound.join(F.broadcast(picked), ["lang", "_h"])
+    sound = labelled.where("text is not null and lang is not null and key is not null").select("key", "lang", "text")
+    picked = least_hashed(sound.select("key", "lang"), "lang", F.xxhash64("key"), sample).drop("nth")
+    rows = sound.join(F.broadcast(picked), ["key", "lang"])  # as many rows as the sample
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [features(t, size).astype(np.float32).tobytes() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("_h"), pa.array(out, pa.binary())], ["lang", "h", "v"])
+            some = [(k, t) for k, t in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True) if has_letter(t)]
+            out = [features(t, size).astype(np.float32).tobytes() for _, t in some]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in some], pa.string()), pa.array(out, pa.binary())], ["lang", "v"])
+
+    known = stored(rows.select("lang", "text").mapInArrow(vectors, "lang string, v binary"), "vectors")
 
-    got = rows.select("lang", "_h", "text").mapInArrow(vectors, "lang string, h long, v binary").collect()
-    got.sort(key=lambda r: (r["lang"], r["h"], r["v"]))
-    if not got:
+    def matrix(t: pa.Table) -> np.ndarray:
+        return np.stack([np.frombuffer(v, np.float32) for v in sorted(t.column("v").to_pylist())])
+
+    def document_frequency(t: pa.Table) -> pa.Table:
+        x = matrix(t)
+        return pa.table({"n": pa.array([len(x)], pa.int64()), "df": pa.array([(x > 0).sum(axis=0).astype(np.int64).tobytes()], pa.binary())})
+
+    found = known.groupBy("lang").applyInArrow(document_frequency, "n long, df binary").collect()  # a row per language
+    if not found:
         return Centroids([], np.zeros((0, size), np.float32), np.ones(size, np.float32), 0.0)
-    counts = np.stack([np.frombuffer(r["v"], np.float32) for r in got])
-    idf = np.log((1 + len(got)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + np.float32(1)
-    x = np.log1p(counts) * idf
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    langs = np.array([r["lang"] for r in got])
-    names, found, least = [], [], 1.0
-    for lang in sorted(set(langs)):
-        own = x[langs == lang]
-        c = _clusters(own, centroids, ROUNDS)
-        names += [lang] * len(c)
-        found.append(c)
-        least = min(least, float(np.quantile((own @ c.T).max(axis=1), 0.01)))
-    return Centroids(names, np.concatenate(found).astype(np.float32), idf, least)
+    n, df = sum(r["n"] for r in found), np.sum([np.frombuffer(r["df"], np.int64) for r in found], axis=0)
+    idf = np.log((1 + n) / (1 + df)).astype(np.float32) + np.float32(1)
+
+    def cluster(t: pa.Table) -> pa.Table:
+        x = np.log1p(matrix(t)) * idf
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        c = _clusters(x, centroids, ROUNDS).astype(np.float32)
+        least = float(np.quantile((x @ c.T).max(axis=1), 0.01))
+        return pa.table({"lang": t.column("lang")[:1].cast(pa.string()), "least": pa.array([least]), "centroids": pa.array([c.tobytes()], pa.binary())})
+
+    got = sorted(known.groupBy("lang").applyInArrow(cluster, "lang string, least double, centroids binary").collect(), key=lambda r: r["lang"])  # a row per language
+    sets = [np.frombuffer(r["centroids"], np.float32).reshape(-1, size) for r in got]
+    names = [r["lang"] for r, c in zip(got, sets, strict=True) for _ in c]
+    return Centroids(names, np.concatenate(sets), idf, min(1.0, *(r["least"] for r in got)))
 
 
 def identify(docs: DataFrame, model: Centroids, reject: float = REJECT, keep: list[str] | None = None) -> DataFrame:
     """The ``keep`` columns of ``docs`` (null: all) with ``lang_pred``, ``score`` (cosine) and ``rejected``.
 
     A null text, one without a letter, or any if nothing was learned, is ``und`` with score 0 and
-    rejected; a text far from all centroids keeps the nearest language and is marked as rejected.
+    rejected; a text far from all centroids keeps the nearest language and is marked as rejected. Whole texts count,
+    worked through in blocks. Repeated rows get equal results, no rows give none; columns with the new names are replaced.
     """
     docs = docs.drop("lang_pred", "score", "rejected")
     kept = docs.columns if keep is None else keep
@@ -142,7 +155,7 @@ def identify(docs: DataFrame, model: Centroids, reject: float = REJECT, keep: li
             names, scores, out = [], [], []
             for text in b.column("text").to_pylist():
                 name, score = UNKNOWN, 0.0
-                if text and len(model.languages) and LETTER.search(text):
+                if text and len(model.languages) and has_letter(text):
                     name, score = model.nearest(text)
                 names.append(name)
                 scores.append(score)

@@ -21,14 +21,17 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructType
 
-#: Labelled rows learned from, at most, per class; bytes in a window; bytes of a class's own part.
-SAMPLE, WINDOW, OWN = 3_000, 64, 6_000
+from cairn.llm.sampling import least_hashed
+
+#: Labelled rows learned from, at most, per class; bytes in a window.
+SAMPLE, WINDOW = 3_000, 64
 #: A unit is in excess if its log odds exceed this by three standard errors, in so many documents.
 LEAST_ODDS, LEAST_DOCS = 0.5, 5
+#: Words of both classes that each dictionary ends in, the most frequent ones. Held-out AUC on sf0.1: 0.943 with none, 0.946
+#: with 500, 0.668 with all of the sample's, which push a class's own words out of the compressor's reach.
 COMMON_WORDS = 500
 #: A score from here on is predicted as toxic.
 THRESHOLD = 0.3
@@ -119,9 +122,8 @@ def _sampled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
 
     Keys are picked from the labels alone, so that only the picked rows' texts are moved.
     """
-    sound = labels.where("key is not null and toxic in (0, 1)").select("key", F.col("toxic").cast("int").alias("toxic")).distinct()
-    nth = F.row_number().over(W.partitionBy("toxic").orderBy(F.xxhash64("key"), "key"))
-    picked = sound.withColumn("_n", nth).where(F.col("_n") <= sample).select("key", "toxic", (F.col("_n") % 3 == 0).cast("int").alias("part"))
+    sound = labels.where("key is not null and toxic in (0, 1)").select("key", F.col("toxic").cast("int").alias("toxic"))
+    picked = least_hashed(sound, "toxic", F.xxhash64("key"), sample).select("key", "toxic", (F.col("nth") % 3 == 0).cast("int").alias("part"))
     return docs.where("text is not null").join(F.broadcast(picked), "key").select("text", "toxic", "part")
 
 
@@ -149,12 +151,7 @@ def _dictionaries(sample: DataFrame) -> tuple[bytes, bytes]:
             a, n, b, m = (t, n_toxic, o, n_ordinary) if toxic else (o, n_ordinary, t, n_toxic)
             if a >= LEAST_DOCS and (e := excess(a, n, b, m)) > LEAST_ODDS:
                 found.append((-e * a, unit))
-        out, size = [], 0
-        for _, unit in sorted(found):
-            if (size := size + len(unit.encode()) + 2) > OWN:
-                break
-            out.append(unit)
-        return out
+        return [unit for _, unit in sorted(found)]
 
     toxic, ordinary = own(True), own(False)
     taken = {x.strip("|") for x in [*toxic, *ordinary]}
@@ -185,7 +182,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Distance:
     """Learns from ``(key, text)`` and ``(key, toxic)``, of each class the ``sample`` keys that hash least.
 
-    Null texts and labels other than 0 and 1 are left out. Without rows of both classes every
+    Null texts and keys and labels other than 0 and 1 are left out, repeated labels count once; a key with both labels is in
+    both classes. All units in excess are kept: the sample bounds them. Without rows of both classes every
     score is the share of toxic rows, 0 if there are none.
     """
     rows = _sampled(docs, labels, sample)
@@ -212,7 +210,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Distance:
 def score(docs: DataFrame, model: Distance, threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
     """The ``keep`` columns of ``docs`` (null: all) with ``score`` and ``predicted``.
 
-    Null and empty texts have no windows and get the calibration's value for that.
+    Null and empty texts have no windows and get the calibration's value for that. Whole texts are scored, window by window.
+    Repeated rows get equal results, no rows give none; columns with the new names are replaced.
     """
     docs = docs.drop("score", "predicted")
     kept = docs.columns if keep is None else keep
