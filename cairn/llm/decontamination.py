@@ -1,8 +1,8 @@
 """Benchmark decontamination.
 
-The benchmark's word windows are hashed; if their table is small by count it is broadcast, else
-Spark shuffles it. Every window of every training text is looked up by hash, and what is found is
-verified word by word against the text. Only hits are grouped by document.
+The benchmark's word windows are hashed and the set of hashes, 12 bytes each, is broadcast if their number is
+within a bound, else Spark shuffles it. Every window of every training text is looked up by hash; what is found gets the
+windows' words, which needn't be small, and is verified word by word against the text. Only hits are grouped by document.
 """
 
 from __future__ import annotations
@@ -10,12 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.words import ascii_lower, settled
+from cairn.llm.words import ascii_lower, free_names, set_aside, settled
+from cairn.sources.tables import stored
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
-#: Benchmark windows up to this number are broadcast (under 100 bytes each).
-BROADCAST_WINDOWS = 400_000
+#: Hashes of benchmark windows up to this number are broadcast, 48 MB of data.
+BROADCAST_WINDOWS = 4_000_000
 KEEP_SHARE = 0.0
 
 
@@ -53,15 +54,16 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def _hits(docs: DataFrame, windows: DataFrame, lengths: list[int], small: bool) -> DataFrame:
-    """Windows of documents whose hash is a benchmark window's, gathered by document."""
-    base = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text"), _word_hashes(normal_words(F.col("text"))).alias("w"))
+    """``(doc, body, hits)``: windows of documents whose hash is a benchmark window's, gathered by document and hash of its text."""
+    base = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("body"), _word_hashes(normal_words(F.col("text"))).alias("w"))
 
     def windows_of(n: int) -> Column:
         return F.transform(_starts(F.col("w"), n), lambda i: F.struct(i.alias("start"), F.lit(n).alias("length"), _window_hash(F.col("w"), i, n).alias("hash")))
 
-    scanned = base.select("_id", "_text", F.explode(F.concat(*map(windows_of, lengths))).alias("x")).select("_id", "_text", "x.start", F.col("x.length").alias("n"), F.col("x.hash").alias("h"))
-    found = scanned.join(F.broadcast(windows) if small else windows, (F.col("h") == F.col("hash")) & (F.col("n") == F.col("length")))
-    return found.groupBy("_id", "_text").agg(F.collect_set(F.struct("start", "length", "window", "items")).alias("_hits"))
+    scanned = base.select("doc", "body", F.explode(F.concat(*map(windows_of, lengths))).alias("x")).select("doc", "body", "x.start", "x.length", "x.hash")
+    hashes = windows.select("hash", "length").distinct()
+    found = scanned.join(F.broadcast(hashes) if small else hashes, ["hash", "length"], "left_semi")
+    return found.join(windows, ["hash", "length"]).groupBy("doc", "body").agg(F.collect_set(F.struct("start", "length", "window", "items")).alias("hits"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
@@ -69,31 +71,34 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
     A word is hit if it lies in any occurrence of a benchmark window. Null or empty texts have no
     words and no hits, an empty or null item no windows; repeated rows get equal results and an
-    empty benchmark hits nothing. Columns with these names are replaced.
+    empty benchmark hits nothing. A very long text is one row like any other. Other columns pass through, those with these
+    names are replaced. No rows give none.
     """
     docs = docs.drop("n_words", "n_hit", "n_items", "item_ids", "spans")
-    windows = benchmark_windows(benchmark, window)
+    doc, body, key, hits_of, listed = free_names(docs, "_doc", "_body", "_key", "_hits", "_w")
+    windows = stored(benchmark_windows(benchmark, window), "windows")
     counts = {r["length"]: r["n"] for r in windows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `window` rows
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
+    none = F.array().cast("array<struct<start:int,length:int,window:string,items:array<bigint>>>")
+    keyed = docs.withColumn(key, F.xxhash64("text"))
     if counts:
-        hits = _hits(docs, windows, sorted(counts), sum(counts.values()) <= broadcast_windows)
-        keyed = keyed.join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_key").eqNullSafe(F.col("_text")), "left").drop("_id", "_text")
+        hits = _hits(docs, windows, sorted(counts), sum(counts.values()) <= broadcast_windows).withColumnsRenamed({"doc": doc, "body": body, "hits": hits_of})
+        keyed = keyed.join(hits, F.col("doc_id").eqNullSafe(F.col(doc)) & F.col(key).eqNullSafe(F.col(body)), "left").drop(doc, body)
     else:
-        keyed = keyed.withColumn("_hits", F.lit(None).cast("array<struct<start:int,length:int,window:string,items:array<bigint>>>"))
-    none = F.array().cast("array<struct<start:int,length:int,window:string,items:array<bigint>>>")
-    keyed = keyed.withColumn("_w", normal_words(F.col("text")))  # after the join: words take more room than texts
-    true = keyed.withColumn("_hits", F.filter(F.coalesce("_hits", none), lambda x: _window_text(F.col("_w"), x["start"], x["length"]) == x["window"]))
-    covered = F.array_distinct(F.flatten(F.transform(F.col("_hits"), lambda x: F.sequence(x["start"], x["start"] + x["length"] - 1))))
+        keyed = keyed.withColumn(hits_of, none)
+    keyed = keyed.withColumn(listed, normal_words(F.col("text")))  # after the join: words take more room than texts
+    true = keyed.withColumn(hits_of, F.filter(F.coalesce(hits_of, none), lambda x: _window_text(F.col(listed), x["start"], x["length"]) == x["window"]))
+    covered = F.array_distinct(F.flatten(F.transform(hits_of, lambda x: F.sequence(x["start"], x["start"] + x["length"] - 1))))
     figures = settled(true, {
-        "n_words": F.size("_w").cast("long"),
+        "n_words": F.size(listed).cast("long"),
         "n_hit": F.size(covered).cast("long"),
-        "item_ids": F.array_distinct(F.flatten(F.col("_hits")["items"])),
-        "spans": F.array_sort(F.transform(F.col("_hits"), lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length")))),
+        "item_ids": F.array_distinct(F.flatten(F.col(hits_of)["items"])),
+        "spans": F.array_sort(F.transform(hits_of, lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length")))),
     })
     return figures.select(*docs.columns, "n_words", "n_hit", "item_ids", "spans").withColumn("n_items", F.size("item_ids").cast("long"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep_share: float = KEEP_SHARE) -> DataFrame:
     """The documents whose share of hit words is at most ``keep_share``; by default any hit drops one."""
+    docs, restored = set_aside(docs, ["n_words", "n_hit", "n_items", "item_ids", "spans"])
     checked = contamination(docs, benchmark, window)
-    return checked.where(F.col("n_hit") <= keep_share * F.col("n_words")).select(*docs.columns)
+    return restored(checked.where(F.col("n_hit") <= keep_share * F.col("n_words")).select(*docs.columns))

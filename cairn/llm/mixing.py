@@ -3,7 +3,7 @@
 Tokens (words) are summed per source, target shares are turned into repetition rates, and each
 document is emitted floor(rate) times plus once more when a hash-seeded draw falls under the
 fraction. Only the table of sources, one row each, is ever ordered as a whole; documents meet it
-in an equi-join whose strategy Spark picks by measured size and whose skew it can split.
+in an equi-join that Spark broadcasts if the written table of sources is small, or else splits by its skew.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cairn.llm.words import count_words
+from cairn.llm.words import count_words, free_names, set_aside
+from cairn.sources.tables import stored
 
 SEED = "mix"
 
@@ -58,18 +59,24 @@ def mix_plan(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3,
     """``docs`` with ``size``, ``source_size``, ``target`` and ``copies``.
 
     Nulls: a null text has size 0, null sources form one source, a null doc_id is drawn as such.
-    Repeated rows are mixed one by one (with equal draws); columns of these names are replaced.
+    Repeated rows are mixed one by one (with equal draws); a very long text is one document like any other. Other columns
+    pass through, those of these names are replaced. No rows give none.
     """
     sized = docs.drop("size", "source_size", "target", "copies").withColumn("size", count_words(F.col("text")))
-    targets = source_targets(sized.select("source", "size"), weights, most).withColumnRenamed("source", "_source")
-    joined = sized.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    (own,) = free_names(sized, "_source")
+    targets = stored(source_targets(sized.select("source", "size"), weights, most).withColumnRenamed("source", own), "targets")
+    joined = sized.join(targets, F.col("source").eqNullSafe(F.col(own))).drop(own)
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
     whole = F.floor(rate)
     return joined.withColumn("copies", (whole + (draw(F.col("doc_id"), seed) < rate - whole).cast("int")).cast("long"))
 
 
 def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3, seed: str = SEED) -> DataFrame:
-    """The mixed corpus: each document's row as often as the mix takes it, numbered by ``copy``."""
-    plan = mix_plan(docs.drop("copy"), weights, most, seed)
+    """The mixed corpus: each document's row as often as the mix takes it, numbered by ``copy``.
+
+    Other columns pass through, whatever their names; one named ``copy`` is replaced.
+    """
+    docs, restored = set_aside(docs.drop("copy"), ["size", "source_size", "target", "copies"])
+    plan = mix_plan(docs, weights, most, seed)
     every = plan.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return every.drop("size", "source_size", "target", "copies")
+    return restored(every.drop("size", "source_size", "target", "copies"))

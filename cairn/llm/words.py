@@ -53,5 +53,6 @@ def settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     worst once per array element. Nothing is moved below a generator, so the columns come out of
     one, over an array of one element.
     """
-    one = F.explode(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))).alias("_one")
-    return df.select("*", one).select(*df.columns, *[F.col(f"_one.{k}").alias(k) for k in columns])
+    (one,) = free_names(df, "_one")
+    made = F.explode(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))).alias(one)
+    return df.select("*", made).select(*df.columns, *[F.col(one)[k].alias(k) for k in columns])
