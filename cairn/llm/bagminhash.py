@@ -19,6 +19,7 @@ Overlap is counted on whole bags, and classes are found by passing labels along
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.hashing import mix, shingles, words_of
+from cairn.llm.hashing import in_slices, mix, shingles, words_in
 from cairn.sources.tables import stored
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -35,6 +36,10 @@ BANDS, ROWS = 20, 5
 PER_PART, BLOCK = 200, 512
 #: A bucket that has at most this many pairs left is paired out, one with more is dealt out in blocks.
 PAIRED = 4096
+#: Bytes of texts that are worked through at once.
+SLICE = 1 << 21
+#: A class of more than one in so many documents is hot; there are fewer than this of them.
+HOT = 1_000
 #: Slack of the bounds that leave pairs out, against rounding.
 SLACK = 1e-9
 
@@ -119,41 +124,31 @@ def overlap(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def _groups(texts: list[str | None], most: int = 1 << 21) -> Iterator[slice]:
-    """Slices of texts of about ``most`` characters in all."""
-    at, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= most:
-            yield slice(at, i + 1)
-            at, size = i + 1, 0
-    if at < len(texts):
-        yield slice(at, len(texts))
+def _shingled(texts: pa.Array, shingle: int) -> list[np.ndarray]:
+    """The bag of each text."""
+    _, _, _, _, words, first = words_in(texts)
+    return [shingles(words[a:b], shingle) for a, b in itertools.pairwise(first)]
 
 
 def _banded(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
     """``(doc_id, sha, keys)`` for texts that have words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, texts = (b.column("doc_id"), b.column("sha")), b.column("text").to_pylist()
-            for part in _groups(texts):
-                bags = [shingles(words_of(t), shingle) for t in texts[part]]
-                keys = band_keys(signatures(bags, bands * rows), bands, rows).view(np.int64)
-                some = [i for i, x in enumerate(bags) if len(x)]
-                own = [c[part].take(pa.array(some, pa.int64())) for c in ids]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(keys[some].tolist(), pa.list_(pa.int64()))], ["doc_id", "sha", "keys"])
+        for b in in_slices(batches, SLICE):
+            bags = _shingled(b.column("text"), shingle)
+            keys = band_keys(signatures(bags, bands * rows), bands, rows).view(np.int64)
+            some = [i for i, x in enumerate(bags) if len(x)]
+            own = [b.column(c).take(pa.array(some, pa.int64())) for c in ("doc_id", "sha")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(keys[some].tolist(), pa.list_(pa.int64()))], ["doc_id", "sha", "keys"])
 
     return docs.select("doc_id", "sha", "text").mapInArrow(run, "doc_id long, sha string, keys array<long>")
 
 
 def _bags(docs: DataFrame, shingle: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, texts = b.column("doc_id"), b.column("text").to_pylist()
-            for part in _groups(texts):
-                found = [expanded(shingles(words_of(t), shingle)).tobytes() for t in texts[part]]
-                yield pa.RecordBatch.from_arrays([ids[part], pa.array(found, pa.binary())], ["member", "bag"])
+        for b in in_slices(batches, SLICE):
+            found = [expanded(x).tobytes() for x in _shingled(b.column("text"), shingle)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, pa.binary())], ["member", "bag"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "member long, bag binary")
 
@@ -309,7 +304,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
 
     ``class_id`` is the least doc_id of a class. Copies of a text share its class without being
     compared; texts without words, null ones among them, are classes of their own. A row with a
-    null doc_id has a null class of size 1. Several rows of one doc_id form one class.
+    null doc_id has a null class of size 1. Several rows of one doc_id form one class. Texts are compared whole,
+    very long ones too. Other columns are left out; no rows give none.
     """
     keyed = docs.select("doc_id", "text", F.sha2(F.col("text").cast("binary"), 256).alias("sha")).where("doc_id is not null")
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
@@ -321,7 +317,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     # rows of one id with several texts tie those texts together
     tied = ids.where("first <> doc_id").join(firsts.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
     found = components(links.unionAll(tied))
-    classed = ids.join(found, F.col("first") == F.col("node"), "left").select("doc_id", F.coalesce("component", "first").alias("class_id"))
+    classed = stored(ids.join(found, F.col("first") == F.col("node"), "left").select("doc_id", F.coalesce("component", "first").alias("class_id")), "classes")
     sizes = classed.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
+    total = F.broadcast(classed.agg(F.count(F.lit(1)).alias("total")))  # one row
+    sizes = stored(sizes.crossJoin(total).select("class_id", "class_size", (F.col("class_size") * HOT > F.col("total")).alias("hot")), "sizes")
+    # members of a hot class don't meet in one task
+    hot = F.broadcast(sizes.where("hot").drop("hot"))
+    sized = classed.join(hot, "class_id").unionAll(classed.join(hot.select("class_id"), "class_id", "left_anti").join(sizes.where("not hot").drop("hot"), "class_id"))
     none = docs.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
-    return classed.join(sizes, "class_id").select("doc_id", "class_id", "class_size").unionAll(none)
+    return sized.select("doc_id", "class_id", "class_size").unionAll(none)
