@@ -1,7 +1,8 @@
 """Interval sets of ``(start, end]`` rows, one set per value of the key columns.
 
-Sets are canonical when their intervals are disjoint and not adjacent. Windows run per key; joins
-of intervals and points meet on buckets of the number line, never by comparing all pairs.
+Sets are canonical when their intervals are disjoint and not adjacent. Sweeps run per key and cell of the number
+line, with what a cell needs from others carried to it, so that a large set is many tasks. Joins of intervals and
+points meet on cells of the size of the longer one, never by comparing all pairs.
 """
 
 from __future__ import annotations
@@ -9,19 +10,22 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BUCKET = 1024
+from cairn.operators.ordered import running
+
+#: Bits of an offset within a cell of a sweep.
+CELL = 20
 
 
 def merge(df: DataFrame, keys: Sequence[str] = ("set_id",)) -> DataFrame:
     """The canonical form: overlapping and adjacent intervals become one."""
-    order = W.partitionBy(*keys).orderBy("start", "end")
-    reach = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
-    opens = (reach.isNull() | (F.col("start") > reach)).cast("int")
-    island = df.where("end > start").withColumn("_new", opens).withColumn("_island", F.sum("_new").over(order))
-    return island.groupBy(*keys, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
+    some = df.where("end > start").select(*keys, "start", "end")
+    reached = running(some, ["start", "end"], {"_reach": ("max_before", F.col("end"))}, keys, CELL)
+    # an interval that nothing before it reaches opens an island, and the last one opened is the one a row is on
+    opens = F.when(F.col("_reach").isNull() | (F.col("start") > F.col("_reach")), F.col("start"))
+    islands = running(reached.withColumn("_opens", opens), ["start", "end"], {"_last": ("max_before", F.col("_opens"))}, keys, CELL)
+    return islands.groupBy(*keys, F.coalesce("_opens", "_last").alias("_island")).agg(F.max("end").alias("end")).select(*keys, F.col("_island").alias("start"), "end")
 
 
 def union(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("set_id",)) -> DataFrame:
@@ -37,8 +41,8 @@ def _swept(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
         return one("start", 1).unionAll(one("end", -1))
 
     steps = ends(a, "a").unionAll(ends(b, "b")).groupBy(*keys, "at").agg(F.sum("da").alias("da"), F.sum("db").alias("db"))
-    order = W.partitionBy(*keys).orderBy("at")
-    return steps.select(*keys, F.col("at").alias("start"), F.lead("at").over(order).alias("end"), F.sum("da").over(order).alias("in_a"), F.sum("db").over(order).alias("in_b")).where("end is not null")
+    made = {"end": ("min_after", F.col("at")), "in_a": ("sum", F.col("da")), "in_b": ("sum", F.col("db"))}
+    return running(steps, ["at"], made, keys, CELL).where("end is not null").select(*keys, F.col("at").alias("start"), "end", "in_a", "in_b")
 
 
 def subtract(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("set_id",)) -> DataFrame:
@@ -54,8 +58,7 @@ def intersect(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("set_id",)) ->
 def gaps(df: DataFrame, keys: Sequence[str] = ("set_id",), start: int = 0) -> DataFrame:
     """The complement from ``start`` on; the last gap of each set is open (null end)."""
     canon = merge(df, keys)
-    order = W.partitionBy(*keys).orderBy("start")
-    after = canon.select(*keys, F.col("end").alias("_s"), F.lead("start").over(order).alias("_e"))
+    after = running(canon, ["start"], {"_e": ("min_after", F.col("start"))}, keys, CELL).select(*keys, F.col("end").alias("_s"), "_e")
     head = canon.groupBy(*keys).agg(F.min("start").alias("_e")).where(F.col("_e") > start).select(*keys, F.lit(start).cast("long").alias("_s"), "_e")
     clipped = after.where(F.col("_e").isNull() | (F.col("_e") > start)).withColumn("_s", F.greatest("_s", F.lit(start)))
     return head.unionByName(clipped).withColumnsRenamed({"_s": "start", "_e": "end"})
@@ -97,28 +100,53 @@ def _buckets(df: DataFrame, size: int) -> DataFrame:
     return df.withColumn("_bucket", F.explode(F.sequence(F.expr(f"start div {size}"), F.expr(f"(end - 1) div {size}"))))
 
 
-def overlap_join(a: DataFrame, b: DataFrame, size: int = BUCKET) -> DataFrame:
+#: The least power of two that an interval fits into; it touches two cells of that size at most.
+_LEVEL = "length(bin(end - start - 1))"
+
+
+def _guests(df: DataFrame, levels: DataFrame, own: Column, above: bool, first: str, last: str) -> DataFrame:
+    """``df`` dealt out to the cells that it touches at each of ``levels`` (one row with an array) from its own on."""
+    higher = F.filter("_levels", lambda x: x > own if above else x >= own)
+    spread = df.crossJoin(F.broadcast(levels)).withColumn("_level", F.explode(higher)).drop("_levels")  # at most 64 levels
+    return spread.withColumn("_at", F.explode(F.sequence(F.expr(f"shiftright({first}, _level)"), F.expr(f"shiftright({last}, _level)"))))
+
+
+def _prefixed(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(c).alias(c if c in ("_level", "_at") else f"b_{c}") for c in df.columns])
+
+
+def _levels(df: DataFrame) -> DataFrame:
+    return df.agg(F.collect_set(F.expr(_LEVEL)).alias("_levels"))
+
+
+def overlap_join(a: DataFrame, b: DataFrame) -> DataFrame:
     """Pairs of rows that overlap, with ``a``'s columns and ``b``'s prefixed by ``b_``.
 
-    Both sides are dealt out to the buckets that they touch; a pair is taken in its first common one.
+    A pair meets at the level of its longer interval, which is dealt out at its own level only, the other one at all
+    levels above its own that the other side has; it is taken in its first common cell there. So a long interval costs two rows.
     """
-    right = _buckets(b, size).select(*[F.col(c).alias(c if c == "_bucket" else f"b_{c}") for c in [*b.columns, "_bucket"]])
-    met = _buckets(a, size).join(right, "_bucket").where("start < b_end and b_start < end")
-    return met.where(f"_bucket = greatest(start div {size}, b_start div {size})").drop("_bucket")
+    a, b = a.where("end > start"), b.where("end > start")
+    level = F.expr(_LEVEL)
+    alone = lambda df: df.withColumn("_level", level).withColumn("_at", F.explode(F.sequence(F.expr("shiftright(start, _level)"), F.expr("shiftright(end - 1, _level)"))))
+    longer_a = alone(a).join(_prefixed(_guests(b, _levels(a), level, False, "start", "end - 1")), ["_level", "_at"])
+    longer_b = _guests(a, _levels(b), level, True, "start", "end - 1").join(_prefixed(alone(b)), ["_level", "_at"])
+    met = longer_a.unionByName(longer_b).where("start < b_end and b_start < end")
+    return met.where("_at = greatest(shiftright(start, _level), shiftright(b_start, _level))").drop("_level", "_at")
 
 
-def containing(points: DataFrame, point: str, b: DataFrame, size: int = BUCKET) -> DataFrame:
+def containing(points: DataFrame, point: str, b: DataFrame) -> DataFrame:
     """Each point with every interval of ``b`` that holds it (``start < point <= end``), ``b_`` prefixed."""
-    right = _buckets(b, size).select(*[F.col(c).alias(c if c == "_bucket" else f"b_{c}") for c in [*b.columns, "_bucket"]])
-    met = points.withColumn("_bucket", F.expr(f"({point} - 1) div {size}")).join(right, "_bucket")
-    return met.where(f"b_start < {point} and {point} <= b_end").drop("_bucket")
+    b = b.where("end > start")
+    alone = b.withColumn("_level", F.expr(_LEVEL)).withColumn("_at", F.explode(F.sequence(F.expr("shiftright(start, _level)"), F.expr("shiftright(end - 1, _level)"))))
+    asked = _guests(points, _levels(b), F.lit(0), False, f"{point} - 1", f"{point} - 1")
+    return asked.join(_prefixed(alone), ["_level", "_at"]).where(f"b_start < {point} and {point} <= b_end").drop("_level", "_at")
 
 
 def is_canonical(df: DataFrame, keys: Sequence[str] = ("set_id",)) -> DataFrame:
     """Per set whether its rows are non-empty, non-negative, disjoint and not adjacent."""
-    before = F.lag("end").over(W.partitionBy(*keys).orderBy("start", "end"))
-    sound = (F.col("end") > F.col("start")) & (F.col("start") >= 0) & (before.isNull() | (before < F.col("start")))
-    return df.withColumn("_sound", sound).groupBy(*keys).agg(F.bool_and("_sound").alias("canonical"))
+    before = running(df, ["start", "end"], {"_before": ("max_before", F.col("end"))}, keys, CELL)
+    sound = (F.col("end") > F.col("start")) & (F.col("start") >= 0) & (F.col("_before").isNull() | (F.col("_before") < F.col("start")))
+    return before.withColumn("_sound", sound).groupBy(*keys).agg(F.bool_and("_sound").alias("canonical"))
 
 
 def shares(df: DataFrame, size: int, keys: Sequence[str] = ("set_id",)) -> DataFrame:

@@ -9,17 +9,61 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def running_sum(df: DataFrame, order: str, value: str, name: str, block: int = 4096) -> DataFrame:
-    """``df`` with the sum of ``value`` up to each row by the integer column ``order`` (unique).
+#: Bits of a key within a cell, and of a cell's number within a group of cells.
+CELL, GROUP = 12, 12
+_KINDS = {"sum": F.sum, "max_before": F.max, "min_after": F.min}
 
-    Rows are summed within blocks of ``block`` keys; only the blocks' totals, one row each, are then
-    run through a single order.
+
+def _carried(cells: DataFrame, keys: Sequence[str], kinds: dict[str, str]) -> DataFrame:
+    """Per cell what the cells before it (for ``min_after``: after it) come to, taken over groups of cells first."""
+    grouped = cells.withColumn("_group", F.expr(f"shiftright(_cell, {GROUP})"))
+    tops = grouped.groupBy(*keys, "_group").agg(*[_KINDS[k](n).alias(n) for n, k in kinds.items()])
+
+    def over(n: str, k: str, part: list[str], by: str) -> Column:
+        # what comes after is walked backwards, so that its frame grows row by row as well
+        first = F.desc(by) if k == "min_after" else F.col(by)
+        return _KINDS[k](n).over(W.partitionBy(*part).orderBy(first).rowsBetween(W.unboundedPreceding, -1))
+
+    tops = tops.select(*keys, "_group", *[over(n, k, list(keys), "_group").alias(f"_top_{n}") for n, k in kinds.items()])
+    inner = grouped.select(*keys, "_group", "_cell", *[over(n, k, [*keys, "_group"], "_cell").alias(n) for n, k in kinds.items()])
+    both = inner.join(tops, [*keys, "_group"])
+
+    def put_together(n: str, k: str) -> Column:
+        if k == "sum":
+            return F.coalesce(F.col(n), F.lit(0)) + F.coalesce(F.col(f"_top_{n}"), F.lit(0))
+        return F.greatest(n, f"_top_{n}") if k == "max_before" else F.least(n, f"_top_{n}")
+
+    return both.select(*keys, "_cell", *[put_together(n, k).alias(f"_carry_{n}") for n, k in kinds.items()])
+
+
+def running(df: DataFrame, order: Sequence[str], made: dict[str, tuple[str, Column]], keys: Sequence[str] = (), cell: int = CELL) -> DataFrame:
+    """``df`` with running figures over each key's rows by ``order``, whose first column is an integer.
+
+    ``made`` names a figure's kind and what it is taken of: ``sum`` up to the row, ``max_before`` over the rows before
+    it, ``min_after`` over those after it. Rows meet within cells of ``2**cell`` keys; only a row per cell is carried on, and
+    those meet within groups of cells, so that no task sees all rows of a key. Null keys aren't allowed.
     """
-    blocked = df.withColumn("_block", F.expr(f"{order} div {block}"))
-    totals = blocked.groupBy("_block").agg(F.sum(value).alias("_total"))
-    before = totals.select("_block", F.coalesce(F.sum("_total").over(W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = F.sum(value).over(W.partitionBy("_block").orderBy(order))
-    return blocked.join(before, "_block").withColumn(name, inside + F.col("_before")).drop("_block", "_before")
+    kinds = {n: k for n, (k, _) in made.items()}
+    valued = df.withColumns({"_cell": F.expr(f"shiftright({order[0]}, {cell})"), **{f"_of_{n}": c for n, (_, c) in made.items()}})
+    cells = valued.groupBy(*keys, "_cell").agg(*[_KINDS[k](f"_of_{n}").alias(n) for n, k in kinds.items()])
+    joined = valued.join(_carried(cells, keys, kinds), [*keys, "_cell"])
+    w = W.partitionBy(*keys, "_cell")
+    up, down = w.orderBy(*order), w.orderBy(*[F.desc(c) for c in order])
+
+    def figure(n: str, k: str) -> Column:
+        here, carry = F.col(f"_of_{n}"), F.col(f"_carry_{n}")
+        if k == "sum":
+            return F.sum(here).over(up.rowsBetween(W.unboundedPreceding, 0)) + carry
+        if k == "max_before":
+            return F.greatest(F.max(here).over(up.rowsBetween(W.unboundedPreceding, -1)), carry)
+        return F.least(F.min(here).over(down.rowsBetween(W.unboundedPreceding, -1)), carry)
+
+    return joined.withColumns({n: figure(n, k) for n, k in kinds.items()}).select(*df.columns, *kinds)
+
+
+def running_sum(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """``df`` with the sum of ``value`` up to each row by the integer column ``order`` (unique)."""
+    return running(df, [order], {name: ("sum", F.col(value))})
 
 
 def trailing(df: DataFrame, order: str, rows: int, aggregates: dict[str, Column], block: int = 4096) -> DataFrame:
@@ -41,23 +85,16 @@ def latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataF
     return df.withColumn("_n", n).where("_n = 1").drop("_n")
 
 
-def as_of(points: DataFrame, at: str, table: DataFrame, key: str, value_columns: Sequence[str], forward: bool, block: int = 4096) -> DataFrame:
+def as_of(points: DataFrame, at: str, table: DataFrame, key: str, value_columns: Sequence[str], forward: bool, cell: int = CELL) -> DataFrame:
     """Each point with the nearest row of ``table``: the first with ``key >= at``, or the last with ``key <= at``.
 
-    Both sides are dealt out by blocks of the number line. A block without a fitting row of its own takes
-    the nearest block's edge row, found among one row per block.
+    Points and rows are put in one order, in cells of the number line; what lies beyond a cell is carried to it.
     """
     row = F.struct(F.col(key).alias("k"), *[F.col(c).alias(c) for c in value_columns])
-    pick = F.min if forward else F.max
-    blocked = table.select(row.alias("r"), F.expr(f"{key} div {block}").alias("_block"))
-    edges = blocked.groupBy("_block").agg(pick("r").alias("edge"))
-    asked = points.withColumn("_block", F.expr(f"{at} div {block}"))
-    # per asked block, the edge row of the nearest other block on the side looked at
-    every = edges.select("_block", "edge").unionByName(asked.select("_block").distinct(), allowMissingColumns=True).groupBy("_block").agg(F.first("edge", True).alias("edge"))
-    side = W.orderBy("_block" if forward else F.desc("_block"))
-    beyond = every.select("_block", F.first("edge", True).over(side.rowsBetween(1, W.unboundedFollowing)).alias("beyond"))
-    tagged = asked.join(beyond, "_block").select(*[F.col(c) for c in points.columns], "_block", "beyond", F.col(at).alias("_k"), F.lit(None).cast(blocked.schema["r"].dataType).alias("r"))
-    here = blocked.select(*[F.lit(None).cast(points.schema[c].dataType).alias(c) for c in points.columns], "_block", F.lit(None).cast(blocked.schema["r"].dataType).alias("beyond"), F.col("r.k").alias("_k"), "r")
-    ordered = W.partitionBy("_block").orderBy("_k" if forward else F.desc("_k")).rangeBetween(0, W.unboundedFollowing)
-    found = tagged.unionByName(here).withColumn("_found", F.coalesce(F.first("r", True).over(ordered), F.col("beyond")))
+    here = table.where(F.col(key).isNotNull()).select(row.alias("r"))
+    kind = here.schema["r"].dataType
+    # of equal keys, rows come first in the direction that is looked from
+    tagged = points.select(*points.columns, F.col(at).alias("_k"), F.lit(0 if forward else 1).alias("_side"), F.lit(None).cast(kind).alias("r"))
+    rows = here.select(*[F.lit(None).cast(points.schema[c].dataType).alias(c) for c in points.columns], F.col("r.k").alias("_k"), F.lit(1 if forward else 0).alias("_side"), "r")
+    found = running(tagged.unionByName(rows), ["_k", "_side"], {"_found": ("min_after" if forward else "max_before", F.col("r"))}, cell=cell)
     return found.where("r is null").select(*points.columns, F.col("_found.k").alias(key), *[F.col(f"_found.{c}").alias(c) for c in value_columns])

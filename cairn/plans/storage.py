@@ -28,7 +28,7 @@ def block_at_offset(spark: Spark, sf_dir: str) -> DataFrame:
     spans = idx.where("size > 0").select("height", F.col("start_offset").alias("start"), F.col("end_offset").alias("end"))
     probes = table(spark, sf_dir, "part").select((F.col("p_partkey") * 7).alias("byte"), (F.col("p_partkey") * 7 + 1).alias("point"))
     tip = idx.agg(F.max("height").alias("tip"))
-    found = intervals.containing(probes, "point", spans, 256).crossJoin(F.broadcast(tip))  # one row
+    found = intervals.containing(probes, "point", spans).crossJoin(F.broadcast(tip))  # one row
     return found.select("byte", F.col("b_height").alias("height"), F.col("b_start").alias("start_offset"), F.col("b_end").alias("end_offset"), (F.col("tip") - F.col("b_height") + 1).alias("confirmations"))
 
 
