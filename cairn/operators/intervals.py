@@ -20,11 +20,12 @@ CELL = 20
 
 def merge(df: DataFrame, keys: Sequence[str] = ("set_id",)) -> DataFrame:
     """The canonical form: overlapping and adjacent intervals become one."""
-    some = df.where("end > start").select(*keys, "start", "end")
-    reached = running(some, ["start", "end"], {"_reach": ("max_before", F.col("end"))}, keys, CELL)
+    # one interval per start, so that both orders below are the same
+    some = df.where("end > start").groupBy(*keys, "start").agg(F.max("end").alias("end"))
+    reached = running(some, ["start"], {"_reach": ("max_before", F.col("end"))}, keys, CELL)
     # an interval that nothing before it reaches opens an island, and the last one opened is the one a row is on
     opens = F.when(F.col("_reach").isNull() | (F.col("start") > F.col("_reach")), F.col("start"))
-    islands = running(reached.withColumn("_opens", opens), ["start", "end"], {"_last": ("max_before", F.col("_opens"))}, keys, CELL)
+    islands = running(reached.withColumn("_opens", opens), ["start"], {"_last": ("max_before", F.col("_opens"))}, keys, CELL)
     return islands.groupBy(*keys, F.coalesce("_opens", "_last").alias("_island")).agg(F.max("end").alias("end")).select(*keys, F.col("_island").alias("start"), "end")
 
 
@@ -111,16 +112,16 @@ def _guests(df: DataFrame, levels: DataFrame, own: Column, above: bool, first: s
     return spread.withColumn("_at", F.explode(F.sequence(F.expr(f"shiftright({first}, _level)"), F.expr(f"shiftright({last}, _level)"))))
 
 
-def _prefixed(df: DataFrame) -> DataFrame:
-    return df.select(*[F.col(c).alias(c if c in ("_level", "_at") else f"b_{c}") for c in df.columns])
+def _prefixed(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    return df.select(*[F.col(c).alias(c if c in ("_level", "_at", *keys) else f"b_{c}") for c in df.columns])
 
 
 def _levels(df: DataFrame) -> DataFrame:
     return df.agg(F.collect_set(F.expr(_LEVEL)).alias("_levels"))
 
 
-def overlap_join(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Pairs of rows that overlap, with ``a``'s columns and ``b``'s prefixed by ``b_``.
+def overlap_join(a: DataFrame, b: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Pairs of rows that overlap, and are equal in ``keys``, with ``a``'s columns and ``b``'s others prefixed by ``b_``.
 
     A pair meets at the level of its longer interval, which is dealt out at its own level only, the other one at all
     levels above its own that the other side has; it is taken in its first common cell there. So a long interval costs two rows.
@@ -128,8 +129,8 @@ def overlap_join(a: DataFrame, b: DataFrame) -> DataFrame:
     a, b = a.where("end > start"), b.where("end > start")
     level = F.expr(_LEVEL)
     alone = lambda df: df.withColumn("_level", level).withColumn("_at", F.explode(F.sequence(F.expr("shiftright(start, _level)"), F.expr("shiftright(end - 1, _level)"))))
-    longer_a = alone(a).join(_prefixed(_guests(b, _levels(a), level, False, "start", "end - 1")), ["_level", "_at"])
-    longer_b = _guests(a, _levels(b), level, True, "start", "end - 1").join(_prefixed(alone(b)), ["_level", "_at"])
+    longer_a = alone(a).join(_prefixed(_guests(b, _levels(a), level, False, "start", "end - 1"), keys), [*keys, "_level", "_at"])
+    longer_b = _guests(a, _levels(b), level, True, "start", "end - 1").join(_prefixed(alone(b), keys), [*keys, "_level", "_at"])
     met = longer_a.unionByName(longer_b).where("start < b_end and b_start < end")
     return met.where("_at = greatest(shiftright(start, _level), shiftright(b_start, _level))").drop("_level", "_at")
 

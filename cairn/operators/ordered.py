@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 #: Bits of a key within a cell, and of a cell's number within a group of cells.
 CELL, GROUP = 12, 12
-_KINDS = {"sum": F.sum, "max_before": F.max, "min_after": F.min}
+_KINDS = {"sum": F.sum, "min": F.min, "max_before": F.max, "min_after": F.min}
 
 
 def _carried(cells: DataFrame, keys: Sequence[str], kinds: dict[str, str]) -> DataFrame:
@@ -39,7 +39,7 @@ def _carried(cells: DataFrame, keys: Sequence[str], kinds: dict[str, str]) -> Da
 def running(df: DataFrame, order: Sequence[str], made: dict[str, tuple[str, Column]], keys: Sequence[str] = (), cell: int = CELL) -> DataFrame:
     """``df`` with running figures over each key's rows by ``order``, whose first column is an integer.
 
-    ``made`` names a figure's kind and what it is taken of: ``sum`` up to the row, ``max_before`` over the rows before
+    ``made`` names a figure's kind and what it is taken of: ``sum`` and ``min`` up to the row, ``max_before`` over the rows before
     it, ``min_after`` over those after it. Rows meet within cells of ``2**cell`` keys; only a row per cell is carried on, and
     those meet within groups of cells, so that no task sees all rows of a key. Null keys aren't allowed.
     """
@@ -54,6 +54,8 @@ def running(df: DataFrame, order: Sequence[str], made: dict[str, tuple[str, Colu
         here, carry = F.col(f"_of_{n}"), F.col(f"_carry_{n}")
         if k == "sum":
             return F.sum(here).over(up.rowsBetween(W.unboundedPreceding, 0)) + carry
+        if k == "min":
+            return F.least(F.min(here).over(up.rowsBetween(W.unboundedPreceding, 0)), carry)
         if k == "max_before":
             return F.greatest(F.max(here).over(up.rowsBetween(W.unboundedPreceding, -1)), carry)
         return F.least(F.min(here).over(down.rowsBetween(W.unboundedPreceding, -1)), carry)

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairn.functions import scalars
-from cairn.operators import ordered
+from cairn.operators import folds, ordered
 from cairn.plans import views
 from cairn.plans.registry import query
 from cairn.plans.views import sql
@@ -103,10 +103,13 @@ def max_block_size(spark: Spark, sf_dir: str) -> DataFrame:
 @query(f"""{sql('pe')}, o AS (SELECT peer, latency, row_number() OVER (PARTITION BY peer ORDER BY us, event_id) AS r FROM pe), ema AS (SELECT peer, r, latency AS v FROM o WHERE r = 1 UNION ALL SELECT o.peer, o.r, (9 * v + latency) // 10 FROM ema JOIN o ON o.peer = ema.peer AND o.r = ema.r + 1) SELECT peer, arg_max(v, r) AS ema, max(r) AS n FROM ema GROUP BY peer""")
 def peer_ema(spark: Spark, sf_dir: str) -> DataFrame:
     """An integer moving average per peer, folded in order of time."""
-    e = views.peer_events(spark, sf_dir)
-    lists = e.groupBy("peer").agg(F.sort_array(F.collect_list(F.struct("us", "event_id", "latency"))).alias("x"))
-    folded = F.aggregate(F.slice("x", 2, F.greatest(F.size("x"), F.lit(1))), F.get("x", F.lit(0))["latency"], lambda a, v: ((9 * a + v["latency"]) / 10).cast("long"))
-    return lists.select("peer", folded.alias("ema"), F.size("x").cast("long").alias("n"))
+    e = views.peer_events(spark, sf_dir).select("peer", "us", "event_id", "latency")
+
+    def step(state: tuple[int, int], row: tuple) -> tuple[tuple[int, int], list]:
+        ema, n = state
+        return ((9 * ema + row[2]) // 10 if n else row[2], n + 1), []
+
+    return folds.folded(e, ["peer"], ["us", "event_id"], "peer long, ema long, n long", lambda: (0, 0), step, lambda state: [state])
 
 
 _SCORES = "scores AS (SELECT peer, subnet, CAST(sum(success * 100 - latency % 50) AS BIGINT) AS score FROM pe GROUP BY peer, subnet)"
@@ -182,11 +185,13 @@ w AS (SELECT anchor, r, id, CASE WHEN size <= 3000 THEN size ELSE 0 END AS used,
 SELECT o.anchor, o.r, o.id, CASE WHEN w.used + o.size <= 3000 THEN w.used + o.size ELSE w.used END, w.used + o.size <= 3000 FROM w JOIN o ON o.anchor = w.anchor AND o.r = w.r + 1) SELECT anchor, id FROM w WHERE taken""")
 def pick_txs(spark: Spark, sf_dir: str) -> DataFrame:
     """Greedy picking per pool: best first, what doesn't fit is skipped and the next is tried."""
-    x = _pending(spark, sf_dir).groupBy("anchor").agg(F.sort_array(F.collect_list(F.struct((-F.col("reward")).alias("k"), "id", "size"))).alias("x"))
-    zero = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("ids"))
-    fits = lambda a, v: a["used"] + v["size"] <= 3000
-    step = lambda a, v: F.struct(F.when(fits(a, v), a["used"] + v["size"]).otherwise(a["used"]).alias("used"), F.when(fits(a, v), F.array_append(a["ids"], v["id"])).otherwise(a["ids"]).alias("ids"))
-    return x.select("anchor", F.explode(F.aggregate("x", zero, step)["ids"]).alias("id"))
+    x = _pending(spark, sf_dir).where("size <= 3000").select("anchor", (-F.col("reward")).alias("k"), "id", "size")
+
+    def step(used: int, row: tuple) -> tuple[int, list]:
+        _, tx, size = row
+        return (used + size, [(tx,)]) if used + size <= 3000 else (used, [])
+
+    return folds.folded(x, ["anchor"], ["k", "id"], "anchor long, id long", lambda: 0, step)
 
 
 @query(f"WITH {_PEND} SELECT id, reward FROM pend ORDER BY CASE WHEN anchor < 5 THEN 0 ELSE 1 END, reward DESC, id LIMIT 100")
@@ -249,16 +254,16 @@ def rate_limit_sliding(spark: Spark, sf_dir: str) -> DataFrame:
 @query(f"""{sql('pe')}, o AS (SELECT peer, event_id, us // 1000000 AS t, row_number() OVER (PARTITION BY peer ORDER BY us, event_id) AS r FROM pe), l AS (SELECT peer, event_id, r, t, CAST(1 AS BIGINT) AS level FROM o WHERE r = 1 UNION ALL
 SELECT o.peer, o.event_id, o.r, o.t, greatest(0, l.level - (o.t - l.t) // 3600) + 1 FROM l JOIN o ON o.peer = l.peer AND o.r = l.r + 1) SELECT peer, event_id, level FROM l""")
 def rate_limit_leaky(spark: Spark, sf_dir: str) -> DataFrame:
-    """The level of each peer's bucket after each request; an hour lets one request leak."""
-    e = views.peer_events(spark, sf_dir).select("peer", "event_id", "us", F.expr("us div 1000000").alias("t"))
-    x = e.groupBy("peer").agg(F.sort_array(F.collect_list(F.struct("us", "event_id", "t"))).alias("x"))
-    zero = F.struct(F.lit(0).cast("long").alias("t"), F.lit(0).cast("long").alias("level"), F.array().cast("array<struct<event_id:bigint,level:bigint>>").alias("out"))
+    """The level of each peer's bucket after each request; an hour lets one request leak.
 
-    def step(a, v):
-        level = F.greatest(F.lit(0).cast("long"), a["level"] - F.floor((v["t"] - a["t"]) / 3600)) + 1
-        return F.struct(v["t"].alias("t"), level.alias("level"), F.array_append(a["out"], F.struct(v["event_id"].alias("event_id"), level.alias("level"))).alias("out"))
-
-    return x.select("peer", F.explode(F.aggregate("x", zero, step)["out"]).alias("y")).select("peer", "y.event_id", "y.level")
+    A level is the greatest sum of (1 - leaked) over the requests up to now, from any one on: a running sum less its running minimum.
+    """
+    e = views.peer_events(spark, sf_dir).select("peer", "event_id", "us", F.expr("us div 1000000").alias("t"))
+    order = W.partitionBy("peer").orderBy("us", "event_id")
+    upto = order.rowsBetween(W.unboundedPreceding, 0)
+    step = F.when(F.lag("t").over(order).isNull(), 0).otherwise(1 - F.expr("floor((t - lag(t) over (partition by peer order by us, event_id)) / 3600)"))
+    summed = e.withColumn("step", step.cast("long")).withColumn("s", F.sum("step").over(upto))
+    return summed.withColumn("least", F.min("s").over(upto)).select("peer", "event_id", (F.col("s") - F.col("least") + 1).alias("level"))
 
 
 @query(f"{sql('pe')} SELECT event_id, peer, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM pe WHERE event_type IN ('purchase', 'signup') AND CAST(json_extract_string(props, '$.k') AS BIGINT) >= 10")
