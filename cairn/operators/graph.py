@@ -8,6 +8,8 @@ any forest can need mean that the parents form a cycle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -126,3 +128,23 @@ def on_path(nodes: DataFrame, tips: DataFrame) -> DataFrame:
 
     marked = plain.join(entries.withColumn("entered", F.lit(1).cast("long")), "id", "left").select(F.expr(f"shiftright(id, {CELL})").alias("cell"), "id", "parent", F.coalesce("entered", F.lit(0).cast("long")).alias("entered"))
     return marked.groupBy("cell").applyInArrow(walk, "id long")
+
+
+def walked(starts: DataFrame, follows: DataFrame, goes_on: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``starts`` (with ``id``) and all that follows each by ``follows`` (id, next), with the number of the ``step``.
+
+    ``goes_on`` keeps the rows that have a next one. Rows reached so far are sent on by 1, 2, 4 ... steps at once. A row that
+    shouldn't go on may still be reached from, so the walk is cut at the first such row at its end.
+    """
+    reached = stored(starts.withColumn("step", F.lit(0).cast("long")), "walk")
+    jump, length = stored(follows.select("id", "next"), "jump"), 1
+    others = [c for c in starts.columns if c != "id"]
+    for _ in range(64):
+        further = goes_on(reached).join(jump, "id").select(*others, F.col("next").alias("id"), (F.col("step") + length).alias("step"))
+        new = stored(further, "walk")
+        if not new.limit(1).count():
+            return reached
+        reached = reached.unionByName(new)
+        jump = stored(jump.join(jump.select(F.col("id").alias("next"), F.col("next").alias("n2")), "next").select("id", F.col("n2").alias("next")), "jump")
+        length *= 2
+    raise ValueError(_CYCLE)

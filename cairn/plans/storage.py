@@ -230,10 +230,13 @@ def point_in_interval(spark: Spark, sf_dir: str) -> DataFrame:
     return intervals.containing(probes, "p", intervals.merge(views.sync_record(spark, sf_dir))).groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("stores"))
 
 
-@query(f"""{sql('black')} SELECT p, coalesce((SELECT "end" + 1 FROM black WHERE "start" < p AND p <= "end"), p) AS allowed FROM (SELECT o_orderkey * 9 AS p FROM orders)""")
+@query(f"""WITH RECURSIVE {views.SQL["black"].replace("p_size", "p_size * 4")}, m AS (SELECT *, CASE WHEN "start" > max("end") OVER (ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS f FROM black), i AS (SELECT *, sum(f) OVER (ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS g FROM m),
+b AS (SELECT min("start") AS "start", max("end") AS "end" FROM i GROUP BY g) SELECT p, coalesce((SELECT "end" + 1 FROM b WHERE "start" < p AND p <= "end"), p) AS allowed FROM (SELECT o_orderkey * 9 AS p FROM orders)""")
 def next_allowed_byte(spark: Spark, sf_dir: str) -> DataFrame:
+    """The first byte from each on that isn't on the black list, whose entries overlap and adjoin."""
     probes = table(spark, sf_dir, "orders").select((F.col("o_orderkey") * 9).alias("p"))
-    hit = intervals.containing(probes, "p", views.blacklist(spark, sf_dir)).select(F.col("p").alias("q"), F.col("b_end").alias("e"))
+    p = table(spark, sf_dir, "part").select(F.lit(0).alias("set_id"), (F.col("p_partkey") * 100).alias("start"), (F.col("p_partkey") * 100 + F.col("p_size") * 4).cast("long").alias("end"))
+    hit = intervals.containing(probes, "p", intervals.merge(p)).select(F.col("p").alias("q"), F.col("b_end").alias("e"))
     return probes.join(hit, F.col("p") == F.col("q"), "left").select("p", F.coalesce(F.col("e") + 1, F.col("p")).alias("allowed"))
 
 
@@ -258,25 +261,9 @@ def footprint_map(spark: Spark, sf_dir: str) -> DataFrame:
     return m.withColumn("back", F.expr("part * 4096 + place * 64 + footprint"))
 
 
-@query(f"""{sql('rec', 'black', 'merged')}, u AS ({'SELECT set_id, "end" AS s, lead("start") OVER (PARTITION BY set_id ORDER BY "start") AS e FROM merged'}) SELECT set_id, CAST(sum(greatest(0, least(e, 9000) - greatest(s, 1000))) AS BIGINT) AS missing FROM u WHERE e IS NOT NULL GROUP BY set_id""")
-def copy_plan(spark: Spark, sf_dir: str) -> DataFrame:
-    """Bytes that lie between what a store has, within a range: what a copy has to fetch."""
-    m = intervals.merge(views.sync_record(spark, sf_dir))
-    nxt = F.lead("start").over(W.partitionBy("set_id").orderBy("start"))
-    holes = m.select("set_id", F.col("end").alias("start"), nxt.alias("end")).where("end is not null")
-    return holes.groupBy("set_id").agg(F.sum(intervals.overlap_with(1000, 9000)).alias("missing"))
-
-
 @query(f"""{sql('rec', 'merged')}, sh AS (SELECT set_id, "start" // 1000 AS bucket, CAST(sum("end" - "start") AS BIGINT) AS bytes FROM merged GROUP BY 1, 2) SELECT bucket, string_agg(CAST(set_id AS VARCHAR), ',' ORDER BY bytes DESC, set_id DESC) AS stores FROM sh GROUP BY bucket""")
 def bucket_peers(spark: Spark, sf_dir: str) -> DataFrame:
     """Stores per bucket, those with most first."""
     sh = intervals.merge(views.sync_record(spark, sf_dir)).groupBy("set_id", F.expr("start div 1000").alias("bucket")).agg(F.sum(F.col("end") - F.col("start")).alias("bytes"))
     listed = F.sort_array(F.collect_list(F.struct("bytes", "set_id")), False)
     return sh.groupBy("bucket").agg(F.array_join(F.transform(listed, lambda x: x["set_id"].cast("string")), ",").alias("stores"))
-
-
-@query(f"""{sql('rec', 'merged')}, f AS (SELECT set_id, "start", "end", "end" - "start" AS len, row_number() OVER (PARTITION BY set_id ORDER BY "start") AS r FROM merged WHERE "end" > 3000) SELECT set_id, "start", "end" FROM f WHERE r <= 3""")
-def peer_fetch_plan(spark: Spark, sf_dir: str) -> DataFrame:
-    """The first few ranges to fetch from each peer."""
-    m = intervals.merge(views.sync_record(spark, sf_dir)).where("end > 3000")
-    return m.withColumn("r", F.row_number().over(W.partitionBy("set_id").orderBy("start"))).where("r <= 3").select("set_id", "start", "end")
