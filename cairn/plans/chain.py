@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairn.functions import scalars
-from cairn.operators import graph, merkle, ordered
+from cairn.operators import graph
 from cairn.plans import views
 from cairn.plans.registry import query
 from cairn.plans.views import sql
@@ -15,26 +15,6 @@ from cairn.sources.tables import shared_path, table
 
 Spark = SparkSession
 
-_WALK = "walk AS (SELECT height, parent FROM forks WHERE height = (SELECT max(height) FROM forks) UNION ALL SELECT f.height, f.parent FROM walk w JOIN forks f ON f.height = w.parent)"
-
-
-def _path(spark: Spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    nodes = views.forks(spark, sf_dir).withColumnRenamed("height", "id")
-    tip = nodes.agg(F.max("id").alias("id"))
-    return nodes, graph.on_path(nodes.select("id", "parent"), tip)
-
-
-@query(f"{sql('forks')}, {_WALK} SELECT height FROM walk")
-def longest_chain(spark: Spark, sf_dir: str) -> DataFrame:
-    return _path(spark, sf_dir)[1].select(F.col("id").alias("height"))
-
-
-@query(f"{sql('forks')}, {_WALK} SELECT height, miner FROM forks WHERE height NOT IN (SELECT height FROM walk)")
-def orphans(spark: Spark, sf_dir: str) -> DataFrame:
-    nodes, path = _path(spark, sf_dir)
-    return nodes.join(path, "id", "left_anti").select(F.col("id").alias("height"), "miner")
-
-
 @query(f"{sql('forks')}, t AS (SELECT height, height AS root, CAST(0 AS BIGINT) AS depth, CAST(diff AS BIGINT) AS total FROM forks WHERE parent NOT IN (SELECT height FROM forks) UNION ALL SELECT f.height, t.root, t.depth + 1, t.total + f.diff FROM t JOIN forks f ON f.parent = t.height) SELECT * FROM t")
 def dag_depths(spark: Spark, sf_dir: str) -> DataFrame:
     """Root, depth and cumulative difficulty of every block."""
@@ -54,31 +34,6 @@ def siblings(spark: Spark, sf_dir: str) -> DataFrame:
     return f.select("parent", "height").join(f.select("parent", F.col("height").alias("sibling")), "parent").where("height < sibling").select("height", "sibling")
 
 
-@query(f"{sql('forks')} SELECT a.miner, a.height AS first, b.height AS second FROM forks a JOIN forks b ON a.miner = b.miner AND a.height < b.height AND b.height - a.height < 200 AND (a.diff = b.diff OR a.parent < b.parent - 150)")
-def double_signing(spark: Spark, sf_dir: str) -> DataFrame:
-    """Pairs of a miner's blocks close by; blocks meet those of their own and the next bucket of heights."""
-    f = views.forks(spark, sf_dir).withColumn("b", F.expr("height div 200"))
-    other = f.select("miner", F.explode(F.array(F.col("b"), F.col("b") - 1)).alias("b"), F.col("height").alias("second"), F.col("parent").alias("p2"), F.col("diff").alias("d2"))
-    met = f.join(other, ["miner", "b"]).where("height < second and second - height < 200 and (diff = d2 or parent < p2 - 150)")
-    return met.select("miner", F.col("height").alias("first"), "second")
-
-
-@query(f"{sql('forks')} SELECT min(height) - 1 AS last_common FROM forks WHERE parent <> height - 1")
-def chain_intersection(spark: Spark, sf_dir: str) -> DataFrame:
-    """The last height up to which two chains agree."""
-    f = views.forks(spark, sf_dir)
-    straight = f.select(F.col("height"), (F.col("height") - 1).alias("p"))
-    return f.join(straight, "height").where("parent <> p").agg((F.min("height") - 1).alias("last_common"))
-
-
-@query(f"{sql('forks')}, tip AS (SELECT max(height) AS t FROM forks) SELECT height, t - height AS depth FROM forks, tip WHERE t - height >= 50 AND height % 97 <> 0 AND t - height < 150")
-def finality_cut(spark: Spark, sf_dir: str) -> DataFrame:
-    f = views.forks(spark, sf_dir)
-    tip = f.agg(F.max("height").alias("t"))
-    d = F.col("t") - F.col("height")
-    return f.crossJoin(F.broadcast(tip)).where((d >= 50) & (d < 150) & (F.col("height") % 97 != 0)).select("height", d.alias("depth"))  # one row
-
-
 @query(f"{sql('forks')} SELECT height, sha256(CAST(height AS VARCHAR) || ',' || CAST(parent AS VARCHAR)) AS id FROM forks WHERE height % 97 = 0 ORDER BY height DESC LIMIT 20")
 def recent_forks(spark: Spark, sf_dir: str) -> DataFrame:
     f = views.forks(spark, sf_dir).where("height % 97 = 0").orderBy(F.desc("height")).limit(20)
@@ -117,24 +72,6 @@ def chunk_ids(spark: Spark, sf_dir: str) -> DataFrame:
     return _chunks(spark, sf_dir).select("doc_id", "pos", F.sha2(F.col("piece").cast("binary"), 256).alias("id"), ends.alias("end_offset"))
 
 
-@query(f"WITH {_CHUNKS} SELECT doc_id, string_agg(piece, '' ORDER BY pos) AS data, count(*) AS chunks FROM ch WHERE pos BETWEEN 1 AND 2 GROUP BY doc_id")
-def tx_payload(spark: Spark, sf_dir: str) -> DataFrame:
-    """Payload put together from its chunks in a range."""
-    c = _chunks(spark, sf_dir).where("pos between 1 and 2").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "piece"))).alias("x"))
-    return c.select("doc_id", F.array_join(F.col("x")["piece"], "").alias("data"), F.size("x").cast("long").alias("chunks"))
-
-
-@query()
-def merkle_roots(spark: Spark, sf_dir: str) -> DataFrame:
-    return merkle.roots(_chunks(spark, sf_dir), "doc_id", "pos", "piece", "size")
-
-
-@query("SELECT o_custkey AS miner, sha256(sha256(CAST(o1 AS VARCHAR)) || CAST(o2 AS VARCHAR)) AS h FROM (SELECT o_custkey, min(o_orderkey) AS o1, max(o_orderkey) AS o2 FROM orders GROUP BY 1)")
-def history_hash(spark: Spark, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("miner")).agg(F.min("o_orderkey").cast("string").alias("a"), F.max("o_orderkey").cast("string").alias("b"))
-    return o.select("miner", merkle.chained(F.array("a", "b")).alias("h"))
-
-
 @query("SELECT c_custkey AS address, rtrim(replace(replace(to_base64(encode(c_name)), '+', '-'), '/', '_'), '=') AS code, c_name AS back, sha256(c_name) AS hash FROM customer")
 def base64url(spark: Spark, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
@@ -191,15 +128,6 @@ def csv_roundtrip(spark: Spark, sf_dir: str) -> DataFrame:
     return spark.read.option("header", True).schema(c.schema).csv(path)
 
 
-@query("SELECT o_orderkey AS height, o_custkey AS miner FROM orders WHERE o_orderkey >= 1200")
-def chain_dump(spark: Spark, sf_dir: str) -> DataFrame:
-    """Blocks from a height on written as JSON and read back."""
-    o = table(spark, sf_dir, "orders").where("o_orderkey >= 1200").select(F.col("o_orderkey").alias("height"), F.col("o_custkey").alias("miner"))
-    path = shared_path(spark, "dump")
-    o.write.json(path)
-    return spark.read.schema(o.schema).json(path)
-
-
 @query("SELECT l_suppkey AS root, max(l_orderkey) AS start, arg_max(l_partkey, struct_pack(a := l_orderkey, b := l_partkey)) AS part FROM lineitem GROUP BY 1")
 def data_root_latest(spark: Spark, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
@@ -212,33 +140,7 @@ def data_root_top_n(spark: Spark, sf_dir: str) -> DataFrame:
     return d.withColumn("r", F.row_number().over(W.partitionBy("root").orderBy(F.desc("start")))).where("r <= 3").drop("r")
 
 
-@query("SELECT c_custkey AS id, CAST(c_custkey * 7 AS BIGINT) AS num, CAST(c_custkey AS BIGINT) + 3 AS den, CAST(c_custkey * 7 // (c_custkey + 3) AS BIGINT) AS whole, CAST(c_custkey * 7 * 5 AS BIGINT) AS num5 FROM customer")
-def rational_math(spark: Spark, sf_dir: str) -> DataFrame:
-    """Exact fractions: multiplied first, divided once, truncated."""
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") * 7).alias("num"), (F.col("c_custkey") + 3).alias("den"))
-    return c.select("id", "num", "den", F.expr("num div den").alias("whole"), (F.col("num") * 5).alias("num5"))
-
-
-@query("SELECT l_suppkey AS store, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS used FROM lineitem WHERE l_suppkey % 3 = 0 GROUP BY 1 ORDER BY used DESC, store LIMIT 5")
-def disk_totals(spark: Spark, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").where("l_suppkey % 3 = 0").groupBy(F.col("l_suppkey").alias("store")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("l_quantity").cast("long")).alias("used"))
-    return li.orderBy(F.desc("used"), "store").limit(5)
-
-
-@query("SELECT user_id AS peer, count(*) AS n FROM events WHERE event_type = 'error' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase') GROUP BY 1")
-def banned_peers(spark: Spark, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    good = e.where("event_type = 'purchase'").select("user_id")
-    return e.where("event_type = 'error'").join(good, "user_id", "left_anti").groupBy(F.col("user_id").alias("peer")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("SELECT s_suppkey AS session, max(l_orderkey) AS step, arg_max(l_linenumber, struct_pack(a := l_orderkey, b := l_linenumber)) AS line FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1")
 def latest_session(spark: Spark, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("session")), F.col("session") == F.col("l_suppkey"))
     return li.groupBy("session").agg(F.max("l_orderkey").alias("step"), F.max_by("l_linenumber", F.struct("l_orderkey", "l_linenumber")).alias("line"))
-
-
-@query("SELECT address, version, value FROM (SELECT o_custkey AS address, o_orderkey AS version, o_orderkey % 7 AS value FROM orders) QUALIFY row_number() OVER (PARTITION BY address ORDER BY version) = 1")
-def distinct_ordered(spark: Spark, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("address"), F.col("o_orderkey").alias("version"), (F.col("o_orderkey") % 7).alias("value"))
-    return ordered.latest(o, ["address"], [F.col("version")])

@@ -176,8 +176,8 @@ def overspent_txs(spark: Spark, sf_dir: str) -> DataFrame:
 @query(f"WITH {_PEND}, s AS (SELECT *, sum(size) OVER (PARTITION BY anchor ORDER BY reward DESC, id ROWS UNBOUNDED PRECEDING) AS used FROM pend) SELECT id, anchor FROM s WHERE used > 5000")
 def evict_low_priority(spark: Spark, sf_dir: str) -> DataFrame:
     """What goes from each pool so that the best stay within a byte budget."""
-    used = F.sum("size").over(W.partitionBy("anchor").orderBy(F.desc("reward"), "id").rowsBetween(W.unboundedPreceding, 0))
-    return _pending(spark, sf_dir).withColumn("used", used).where("used > 5000").select("id", "anchor")
+    p = _pending(spark, sf_dir).withColumn("k", -F.col("reward"))
+    return ordered.running(p, ["k", "id"], {"used": ("sum", F.col("size"))}, ["anchor"], 20).where("used > 5000").select("id", "anchor")
 
 
 @query(f"""WITH RECURSIVE {_PEND}, o AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY reward DESC, id) AS r FROM pend),
@@ -306,14 +306,6 @@ def header_projection(spark: Spark, sf_dir: str) -> DataFrame:
     return b.withColumn("empty", F.col("txs") == 0)
 
 
-@query("SELECT c_custkey AS address, list_filter([CASE WHEN c_acctbal < 0 THEN 'negative' END, CASE WHEN length(c_name) > 18 THEN 'long_name' END, CASE WHEN c_nationkey = 3 THEN 'barred' END], lambda x: x IS NOT NULL)[1] AS first_reason FROM customer")
-def validation_reasons(spark: Spark, sf_dir: str) -> DataFrame:
-    """The first of several rules that a row breaks."""
-    c = table(spark, sf_dir, "customer")
-    rules = [F.when(F.col("c_acctbal") < 0, "negative"), F.when(F.length("c_name") > 18, "long_name"), F.when(F.col("c_nationkey") == 3, "barred")]
-    return c.select(F.col("c_custkey").alias("address"), F.coalesce(*rules).alias("first_reason"))
-
-
 @query("SELECT c_mktsegment AS tag, CAST(sum(CAST(c_custkey AS BIGINT)) AS BIGINT) AS total, count(*) FILTER (WHERE c_acctbal > 0) AS solvent FROM customer GROUP BY 1")
 def counter_prefix_sums(spark: Spark, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("tag")).agg(F.sum("c_custkey").alias("total"), F.count_if(F.col("c_acctbal") > 0).alias("solvent"))
@@ -325,11 +317,6 @@ def distinct_partitions(spark: Spark, sf_dir: str) -> DataFrame:
     return li
 
 
-@query("SELECT l_partkey AS part, count(DISTINCT l_suppkey) AS stores, min(l_orderkey) AS first_seen FROM lineitem GROUP BY 1")
-def invert_map(spark: Spark, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("part")).agg(F.countDistinct("l_suppkey").alias("stores"), F.min("l_orderkey").alias("first_seen"))
-
-
 @query("SELECT l_orderkey % 100 AS x FROM lineitem WHERE l_returnflag = 'A' EXCEPT ALL SELECT l_orderkey % 100 FROM lineitem WHERE l_returnflag = 'N' AND l_linestatus = 'O'")
 def list_subtract(spark: Spark, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")

@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cairn.operators import graph, intervals, ordered
+from cairn.operators import intervals, ordered
 from cairn.plans import views
 from cairn.plans.ledger import _PEND, _pending
 from cairn.plans.registry import query
@@ -51,28 +47,6 @@ def mempool_rebuild(spark: Spark, sf_dir: str) -> DataFrame:
     return p.groupBy("anchor").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"), F.array_join(F.transform(head, lambda x: x["id"].cast("string")), ",").alias("best"))
 
 
-@query(f"""{sql('blocks')}, s AS (SELECT height // 50 AS seg, row_number() OVER (PARTITION BY height // 50 ORDER BY height) AS i, size FROM blocks), p AS (SELECT seg, i, CAST(100 AS BIGINT) AS price FROM s WHERE i = 1 UNION ALL SELECT s.seg, s.i, greatest(p.price // 2, least(p.price * 2, (9 * p.price + s.size) // 10)) FROM p JOIN s ON s.seg = p.seg AND s.i = p.i + 1) SELECT seg, arg_max(price, i) AS price, max(i) AS n FROM p GROUP BY seg""")
-def price_ema_path(spark: Spark, sf_dir: str) -> DataFrame:
-    """An integer average held to half and twice the one before, folded along each stretch of blocks."""
-    x = views.blocks(spark, sf_dir).groupBy(F.expr("height div 50").alias("seg")).agg(F.sort_array(F.collect_list(F.struct("height", "size"))).alias("x"))
-
-    def step(a, v):
-        return F.greatest(F.floor(a / 2), F.least(a * 2, F.floor((9 * a + v["size"]) / 10)))
-
-    return x.select("seg", F.aggregate(F.slice("x", 2, F.greatest(F.size("x"), F.lit(1))), F.lit(100).cast("long"), step).alias("price"), F.size("x").cast("long").alias("n"))
-
-
-@query(f"""{sql('blocks')}, s AS (SELECT height // 100 AS seg, row_number() OVER (PARTITION BY height // 100 ORDER BY height) AS i, reward % 1000 AS fee, size FROM blocks), c AS (SELECT seg, i, CAST(1000 AS BIGINT) + fee - size AS pool, CAST(0 AS BIGINT) AS debt FROM s WHERE i = 1 UNION ALL SELECT s.seg, s.i, greatest(0, c.pool + s.fee - s.size * 20), c.debt + greatest(0, s.size * 20 - c.pool - s.fee) FROM c JOIN s ON s.seg = c.seg AND s.i = c.i + 1) SELECT seg, arg_max(pool, i) AS pool, arg_max(debt, i) AS debt FROM c GROUP BY seg""")
-def reward_cascade(spark: Spark, sf_dir: str) -> DataFrame:
-    """A pool that fees fill and rewards empty; what it can't pay becomes debt."""
-    x = views.blocks(spark, sf_dir).groupBy(F.expr("height div 100").alias("seg")).agg(F.sort_array(F.collect_list(F.struct("height", (F.col("reward") % 1000).alias("fee"), "size"))).alias("x"))
-    head = F.get("x", F.lit(0))
-    zero = F.struct((F.lit(1000).cast("long") + head["fee"] - head["size"]).alias("pool"), F.lit(0).cast("long").alias("debt"))
-    none = F.lit(0).cast("long")
-    step = lambda a, v: F.struct(F.greatest(none, a["pool"] + v["fee"] - v["size"] * 20).alias("pool"), (a["debt"] + F.greatest(none, v["size"] * 20 - a["pool"] - v["fee"])).alias("debt"))
-    return x.withColumn("y", F.aggregate(F.slice("x", 2, F.greatest(F.size("x"), F.lit(1))), zero, step)).select("seg", "y.pool", "y.debt")
-
-
 @query("SELECT o_custkey AS miner, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey DESC) AS recent FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS r FROM orders) WHERE r <= 4 GROUP BY 1")
 def history_suffix(spark: Spark, sf_dir: str) -> DataFrame:
     r = F.row_number().over(W.partitionBy("o_custkey").orderBy(F.desc("o_orderkey")))
@@ -101,7 +75,9 @@ def weighted_rank(spark: Spark, sf_dir: str) -> DataFrame:
 def sample_80_20(spark: Spark, sf_dir: str) -> DataFrame:
     """Most of a sample from the first fifth of the peers, the rest from the others."""
     u = F.md5(F.concat(F.lit("u"), F.col("user_id").cast("string")).cast("binary"))
-    s = table(spark, sf_dir, "events").select("user_id").distinct().withColumn("first", F.ntile(5).over(W.orderBy("user_id")) == 1)  # one row per peer
+    ranked = ordered.running(table(spark, sf_dir, "events").select("user_id").distinct(), ["user_id"], {"rank": ("sum", F.lit(1))})
+    n = ranked.agg(F.max("rank").alias("n"))
+    s = ranked.crossJoin(F.broadcast(n)).select("user_id", F.expr("rank <= (n + 4) div 5").alias("first"))  # one row
     r = F.row_number().over(W.partitionBy("first").orderBy(F.substring(u, 1, 6), "user_id"))
     return s.withColumn("r", r).where("r <= if(first, 8, 2)").select(F.col("user_id").alias("peer"))
 
@@ -109,8 +85,8 @@ def sample_80_20(spark: Spark, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey AS id FROM (SELECT *, sum(o_orderkey % 997) OVER (PARTITION BY o_custkey % 16 ORDER BY o_orderdate DESC, o_orderkey DESC ROWS UNBOUNDED PRECEDING) AS used FROM orders) WHERE used > 20000")
 def evict_oldest(spark: Spark, sf_dir: str) -> DataFrame:
     """What leaves each cache so that the newest stay within its budget."""
-    used = F.sum(F.col("o_orderkey") % 997).over(W.partitionBy(F.col("o_custkey") % 16).orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).rowsBetween(W.unboundedPreceding, 0))
-    return table(spark, sf_dir, "orders").withColumn("used", used).where("used > 20000").select(F.col("o_orderkey").alias("id"))
+    o = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 16).alias("cache"), (-F.unix_date(F.col("o_orderdate").cast("date"))).cast("long").alias("age"), (-F.col("o_orderkey")).alias("nth"), (F.col("o_orderkey") % 997).alias("size"))
+    return ordered.running(o, ["age", "nth"], {"used": ("sum", F.col("size"))}, ["cache"], 4).where("used > 20000").select((-F.col("nth")).alias("id"))
 
 
 @query("SELECT s_suppkey AS id, CAST(s_nationkey AS VARCHAR) AS a, s_name AS b, CASE WHEN s_suppkey % 2 = 0 THEN 'two' END AS c FROM supplier")
@@ -123,19 +99,6 @@ def config_merge(spark: Spark, sf_dir: str) -> DataFrame:
     return s.select(F.col("s_suppkey").alias("id"), both["a"].alias("a"), both["b"].alias("b"), both["c"].alias("c"))
 
 
-_ON = "walk AS (SELECT height, parent FROM forks WHERE height = (SELECT max(height) FROM forks) UNION ALL SELECT f.height, f.parent FROM walk w JOIN forks f ON f.height = w.parent)"
-
-
-@query(f"{sql('forks')}, {_ON} SELECT height, CASE WHEN height IN (SELECT height FROM walk) THEN 'on_chain' WHEN height > (SELECT max(height) FROM forks) - 300 THEN 'validated' ELSE 'pruned' END AS status FROM forks")
-def dag_status(spark: Spark, sf_dir: str) -> DataFrame:
-    """Blocks on the tip's chain, side branches that may still win, and those too deep."""
-    nodes = views.forks(spark, sf_dir).withColumnRenamed("height", "id")
-    tip = nodes.agg(F.max("id").alias("id"))
-    path = graph.on_path(nodes.select("id", "parent"), tip).withColumn("on", F.lit(True))
-    j = nodes.join(path, "id", "left").crossJoin(F.broadcast(tip.withColumnRenamed("id", "tip")))  # one row
-    return j.select(F.col("id").alias("height"), F.when(F.col("on"), "on_chain").when(F.col("id") > F.col("tip") - 300, "validated").otherwise("pruned").alias("status"))
-
-
 @query(f"{sql('forks')} SELECT miner, count(*) AS blocks, max(height) AS last, max(height) - min(height) AS span FROM forks GROUP BY miner")
 def by_miner(spark: Spark, sf_dir: str) -> DataFrame:
     return views.forks(spark, sf_dir).groupBy("miner").agg(F.count(F.lit(1)).alias("blocks"), F.max("height").alias("last"), (F.max("height") - F.min("height")).alias("span"))
@@ -180,30 +143,6 @@ def pending_join(spark: Spark, sf_dir: str) -> DataFrame:
     return a.join(p, ["peer", "b"]).where("us > t and us - t <= 7200000000").groupBy("waiting").agg(F.min("event_id").alias("found"))
 
 
-@query(f"{sql('forks')}, gone AS (SELECT height FROM forks WHERE height % 97 = 96) SELECT l_orderkey AS height, count(*) AS returned FROM lineitem JOIN gone ON l_orderkey = height GROUP BY 1")
-def reorg_replay(spark: Spark, sf_dir: str) -> DataFrame:
-    """Transactions of the blocks that the side branches skip go back to the pool."""
-    gone = views.forks(spark, sf_dir).where("height % 97 = 96").select("height")
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("height")).join(gone, "height").groupBy("height").agg(F.count(F.lit(1)).alias("returned"))
-
-
-@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 8 = 0 THEN 3 ELSE bit_count(((o_orderkey % 8) & -(o_orderkey % 8)) - 1) END AS steps FROM orders")
-def fixpoint_state(spark: Spark, sf_dir: str) -> DataFrame:
-    """Halved as long as it is even, at most three times: a state machine run to its fixpoint."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 8).alias("s"), F.lit(0).alias("steps"))
-    for _ in range(3):
-        even = F.col("s") % 2 == 0
-        o = o.select("id", F.when(even, F.expr("s div 2")).otherwise(F.col("s")).alias("s"), (F.col("steps") + even.cast("int")).alias("steps"))
-    return o.select("id", "steps")
-
-
-@query("SELECT doc_id, i AS pos, substr(text, CAST(i * 1024 + 1 AS BIGINT), 1024) AS piece FROM (SELECT doc_id, text, unnest(range(0, CAST(ceil(length(text) / 1024.0) AS BIGINT))) AS i FROM documents) WHERE i = 1")
-def chunk_at(spark: Spark, sf_dir: str) -> DataFrame:
-    """The chunk that holds byte 1500 of each document's data."""
-    d = table(spark, sf_dir, "documents").where(F.length("text") > 1024)
-    return d.select("doc_id", F.lit(1).cast("long").alias("pos"), F.substring("text", 1025, 1024).alias("piece"))
-
-
 @query(f"{sql('rec', 'merged')}, t AS (SELECT set_id, CAST(sum(\"end\" - \"start\") AS BIGINT) AS total FROM merged GROUP BY 1), o AS (SELECT set_id, k, 1 + CAST('0x' || substr(md5(CAST(set_id AS VARCHAR) || '-' || CAST(k AS VARCHAR)), 1, 12) AS BIGINT) % total AS at FROM t, (SELECT unnest(range(0, 5)) AS k)), c AS (SELECT *, sum(\"end\" - \"start\") OVER (PARTITION BY set_id ORDER BY \"start\" ROWS UNBOUNDED PRECEDING) AS cum FROM merged) SELECT DISTINCT o.set_id, c.\"start\", c.\"end\" FROM o JOIN c ON c.set_id = o.set_id AND o.at <= c.cum AND o.at > c.cum - (c.\"end\" - c.\"start\")")
 def interval_sample(spark: Spark, sf_dir: str) -> DataFrame:
     """Intervals hit by five offsets each, drawn by hash over the covered length: long ones are likelier."""
@@ -216,23 +155,6 @@ def interval_sample(spark: Spark, sf_dir: str) -> DataFrame:
     return rows.where(hit).select("set_id", "start", "end")
 
 
-@query()
-def xor_cipher(spark: Spark, sf_dir: str) -> DataFrame:
-    """Parts ciphered with bytes drawn from their key and deciphered again; gives what came back."""
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").cast("binary").alias("data"))
-
-    def cipher(batches):
-        for b in batches:
-            out = []
-            for i, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                key = (hashlib.sha256(str(i).encode()).digest() * (len(d) // 32 + 1))[: len(d)]
-                out.append(np.bitwise_xor(np.frombuffer(d, np.uint8), np.frombuffer(key, np.uint8)).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["id", "data"])
-
-    once = p.mapInArrow(cipher, "id long, data binary")
-    return once.mapInArrow(cipher, "id long, data binary").select("id", F.col("data").cast("string").alias("back"))
-
-
 @query("SELECT o_custkey % 20 AS device, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS total FROM orders GROUP BY 1 ORDER BY total DESC, device LIMIT 7")
 def device_order(spark: Spark, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 20).alias("device")).agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("total"))
@@ -245,9 +167,3 @@ def anchor_order(spark: Spark, sf_dir: str) -> DataFrame:
     a = F.col("o_orderkey") % 50
     o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c")).agg(F.min_by("o_orderkey", a).alias("anchor"), F.min(a).alias("m"), F.count(F.lit(1)).alias("n"), F.countDistinct(a).alias("d"))
     return table(spark, sf_dir, "customer").join(o, F.col("c_custkey") == F.col("c")).where("m < 10 and n = d").select(F.col("c_custkey").alias("address"), "anchor")
-
-
-@query("SELECT address, seen FROM (SELECT o_custkey AS address, o_orderkey AS seen FROM orders WHERE o_orderstatus = 'O') QUALIFY row_number() OVER (PARTITION BY address ORDER BY seen DESC) = 1")
-def access_log(spark: Spark, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("address"), F.col("o_orderkey").alias("seen"))
-    return ordered.latest(o, ["address"], [F.desc("seen")])

@@ -32,11 +32,11 @@ def block_at_offset(spark: Spark, sf_dir: str) -> DataFrame:
     return found.select("byte", F.col("b_height").alias("height"), F.col("b_start").alias("start_offset"), F.col("b_end").alias("end_offset"), (F.col("tip") - F.col("b_height") + 1).alias("confirmations"))
 
 
-@query(f"""{sql('blocks', 'idx', 'txs')} SELECT line, target, txs.size, txs.reward, format, n, height, (SELECT max(height) FROM blocks) - height + 1 AS confirmations FROM txs JOIN idx USING (height) WHERE txs.size >= 25""")
+@query(f"""{sql('blocks', 'idx', 'txs')} SELECT line, target, txs.size, txs.reward, format, n, height, (SELECT max(height) FROM blocks) - height + 1 AS confirmations FROM txs JOIN idx USING (height)""")
 def tx_status(spark: Spark, sf_dir: str) -> DataFrame:
     idx = views.block_index(spark, sf_dir)
     tip = idx.agg(F.max("height").alias("tip"))
-    found = views.txs(spark, sf_dir).where("size >= 25").join(idx.select("height"), "height").crossJoin(F.broadcast(tip))  # one row
+    found = views.txs(spark, sf_dir).join(idx.select("height"), "height").crossJoin(F.broadcast(tip))  # one row
     return found.select("line", "target", "size", "reward", "format", "n", "height", (F.col("tip") - F.col("height") + 1).alias("confirmations"))
 
 
@@ -102,9 +102,13 @@ def kv_delete(spark: Spark, sf_dir: str) -> DataFrame:
 
 @query(f"""{sql('blocks')} SELECT height, size, 'old' AS part FROM blocks WHERE height < 1000 UNION ALL SELECT height, size + 1, 'new' FROM blocks WHERE height >= 1000""")
 def block_index_replace_suffix(spark: Spark, sf_dir: str) -> DataFrame:
+    """The index with its end replaced from the last common block on; an error if the new part leaves a gap."""
     b = views.blocks(spark, sf_dir)
     suffix = b.where("height >= 1000").select("height", (F.col("size") + 1).alias("size"), F.lit("new").alias("part"))
-    return b.where("height < 1000").select("height", "size", F.lit("old").alias("part")).unionAll(suffix)
+    kept = b.where("height < 1000").select("height", "size", F.lit("old").alias("part"))
+    gap = kept.agg(F.max("height").alias("h")).crossJoin(F.broadcast(suffix.agg(F.min("height").alias("s")))).select((F.col("s") > F.col("h") + 1).alias("gap"))  # one row
+    checked = kept.unionAll(suffix).crossJoin(F.broadcast(gap))
+    return checked.select(F.when(F.col("gap"), F.raise_error(F.lit("the new part leaves a gap"))).otherwise(F.col("height")).cast("long").alias("height"), "size", "part")
 
 
 @query("""SELECT o_orderkey AS height, o_custkey AS addr FROM orders WHERE o_orderkey BETWEEN 10 AND 200 AND (SELECT count(*) FROM orders o LEFT JOIN customer ON c_custkey = o_custkey WHERE o.o_orderkey BETWEEN 10 AND 200 AND c_custkey IS NULL) = 0""")

@@ -52,8 +52,8 @@ def peer_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def forks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``height, parent``: each block's parent is the one before, every 97th's the one before that."""
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("height"), F.when(F.col("o_orderkey") % 97 == 0, F.col("o_orderkey") - 2).otherwise(F.col("o_orderkey") - 1).alias("parent"), F.col("o_custkey").alias("miner"), (1 + F.col("o_custkey") % 9).alias("diff"))
+    """``height, parent, miner, diff``: each block's parent is the one before, every 97th's lies up to five blocks back."""
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("height"), F.when(F.col("o_orderkey") % 97 == 0, F.col("o_orderkey") - 1 - F.col("o_orderkey") % 5).otherwise(F.col("o_orderkey") - 1).alias("parent"), F.col("o_custkey").alias("miner"), (1 + F.col("o_custkey") % 9).alias("diff"))
 
 
 #: The same views for DuckDB, as the start of a WITH clause.
@@ -65,7 +65,7 @@ SQL = {
     "rec": "rec AS (SELECT l_suppkey AS set_id, l_orderkey * 10 AS \"start\", l_orderkey * 10 + CAST(l_quantity AS BIGINT) AS \"end\" FROM lineitem)",
     "black": "black AS (SELECT p_partkey * 100 AS \"start\", p_partkey * 100 + p_size AS \"end\" FROM part)",
     "pe": "pe AS (SELECT event_id, user_id AS peer, user_id % 16 AS subnet, epoch_us(ts) AS us, CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END AS success, CAST(round(value * 100) AS BIGINT) AS latency, event_type, props FROM events)",
-    "forks": "forks AS (SELECT o_orderkey AS height, CASE WHEN o_orderkey % 97 = 0 THEN o_orderkey - 2 ELSE o_orderkey - 1 END AS parent, o_custkey AS miner, 1 + o_custkey % 9 AS diff FROM orders)",
+    "forks": "forks AS (SELECT o_orderkey AS height, CASE WHEN o_orderkey % 97 = 0 THEN o_orderkey - 1 - o_orderkey % 5 ELSE o_orderkey - 1 END AS parent, o_custkey AS miner, 1 + o_custkey % 9 AS diff FROM orders)",
     "merged": "marked AS (SELECT *, CASE WHEN \"start\" > max(\"end\") OVER (PARTITION BY set_id ORDER BY \"start\", \"end\" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS f FROM rec), isl AS (SELECT *, sum(f) OVER (PARTITION BY set_id ORDER BY \"start\", \"end\" ROWS UNBOUNDED PRECEDING) AS g FROM marked), merged AS (SELECT set_id, min(\"start\") AS \"start\", max(\"end\") AS \"end\" FROM isl GROUP BY set_id, g)",
 }
 

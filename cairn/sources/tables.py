@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,4 +59,39 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
+    if (held := _SCRATCH.get()) is not None:
+        held.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Paths of the tables that :func:`stored` has written within the open :func:`scratch`, of this thread.
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+def remove(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Deletes stored tables that nothing reads any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(conf).delete(target, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Gives a :func:`stored` for results; all other tables stored meanwhile go when the block is left.
+
+    For work whose results are stored before it ends: a query that is still to be run needs its tables.
+    """
+    held: list[str] = []
+    token = _SCRATCH.set(held)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = stored(df, name)
+        held.pop()
+        return out
+
+    try:
+        yield keep
+    finally:
+        _SCRATCH.reset(token)
+        remove(spark, held)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -59,16 +60,57 @@ def moving_average(events: DataFrame) -> DataFrame:
 
 
 def limited(events: DataFrame, span_us: int, most: int) -> DataFrame:
-    """``event_id, peer, allowed``: a sliding-window limiter whose state is the times within the window."""
+    """``event_id, peer, allowed``: a sliding-window limiter whose state is the times within the window.
+
+    A peer that stays idle for a window, by the watermark of ``ts``, is forgotten. Batches are taken to come in order of time.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = deque(state.get[0]) if state.exists else deque()
         rows = pd.concat(list(frames)).sort_values(["us", "event_id"])
         out = []
         for event, us in zip(rows["event_id"], rows["us"], strict=True):
-            held = [t for t in held if t + span_us > us] + [int(us)]
+            held.append(int(us))
+            while held[0] + span_us <= us:
+                held.popleft()
             out.append((int(event), key[0], len(held) <= most))
-        state.update((held,))
+        state.update((list(held),))
+        state.setTimeoutTimestamp(max((held[-1] + span_us) // 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["event_id", "peer", "allowed"])
 
-    return events.groupBy("peer").applyInPandasWithState(step, "event_id long, peer long, allowed boolean", "held array<long>", "append", GroupStateTimeout.NoTimeout)
+    timed = events.withWatermark("ts", "1 hour")
+    return timed.groupBy("peer").applyInPandasWithState(step, "event_id long, peer long, allowed boolean", "held array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def replayed(df: DataFrame, order: str, files: int, name: str) -> DataFrame:
+    """``df`` as a stream of ``files`` batches in the order of the integer column ``order``."""
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    bounds = df.agg(F.min(order), F.max(order)).first()
+    low, high = bounds if bounds[0] is not None else (0, 0)
+    for n in range(files):
+        part = F.least(F.floor((F.col(order) - low) * files / (high - low + 1)), F.lit(files - 1)) == n
+        df.where(part).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def kept_up(ops: DataFrame, name: str, first: DataFrame, advance: Callable[[DataFrame, DataFrame], DataFrame]) -> tuple[str, int]:
+    """A table that each batch of a stream turns into the next one: ``advance(table, batch)``; the path of all versions and the last one's number.
+
+    A batch that is tried again reads the version before its own and overwrites what its first try left.
+    """
+    spark = ops.sparkSession
+    out = shared_path(spark, name)
+    first.write.parquet(f"{out}/_n=-1")
+    last = [-1]
+
+    def batch(rows: DataFrame, n: int) -> None:
+        before = spark.read.schema(first.schema).parquet(f"{out}/_n={n - 1}")
+        advance(before, rows).write.mode("overwrite").parquet(f"{out}/_n={n}")
+        last[0] = n
+
+    run(ops, name, "append", batch)
+    return out, last[0]
