@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cairn.llm import bagminhash, decontamination, mixing, quality_rules, substring_dedup
 from cairn.llm.words import free_names, set_aside
-from cairn.sources.tables import stored, table
+from cairn.sources.tables import scratch, table
 
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -103,5 +103,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark) as keep:  # what a stage stored on its way isn't needed once its rows are written
+            docs = keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs
