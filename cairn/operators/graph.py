@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from cairn.sources.tables import stored
 
 #: Bits of an id within a cell.
-CELL = 12
+CELL = 16
 _CYCLE = "the parents form a cycle"
 
 
@@ -65,10 +65,15 @@ def _rounds(tops: DataFrame) -> int:
     return tops.count().bit_length() + 1
 
 
-def ancestors(nodes: DataFrame, value: Column | None = None, name: str = "total") -> DataFrame:
-    """``id, root, depth`` (and the sum of ``value`` down from the root) for every node of a forest."""
+def celled(nodes: DataFrame, value: Column | None = None) -> DataFrame:
+    """Nodes (id, parent) walked within their cells, stored: what :func:`ancestors` and :func:`on_path` can share."""
     weight = F.lit(1) if value is None else value
-    local = stored(_tops(nodes.select("id", "parent", weight.cast("long").alias("own"))), "tops")
+    return stored(_tops(nodes.select("id", "parent", weight.cast("long").alias("own"))), "tops")
+
+
+def ancestors(nodes: DataFrame, value: Column | None = None, name: str = "total", local: DataFrame | None = None) -> DataFrame:
+    """``id, root, depth`` (and the sum of ``value`` down from the root) for every node of a forest; ``local`` if it was walked before."""
+    local = celled(nodes, value) if local is None else local
     linked = _linked(local).select("id", F.coalesce("up", "id").alias("root"), "depth", "sum", F.col("up").isNull().alias("done"))
     open_ = stored(linked, "pointers")
     finished = open_.where("done")
@@ -106,10 +111,9 @@ def _reached(linked: DataFrame, first: DataFrame) -> DataFrame:
     return reached
 
 
-def on_path(nodes: DataFrame, tips: DataFrame) -> DataFrame:
-    """``id`` of the nodes from ``tips`` (id) to their roots."""
-    plain = nodes.select("id", "parent", F.lit(0).cast("long").alias("own"))
-    local = stored(_tops(plain), "tops")
+def on_path(nodes: DataFrame, tips: DataFrame, local: DataFrame | None = None) -> DataFrame:
+    """``id`` of the nodes from ``tips`` (id) to their roots; ``local`` if the nodes were walked before."""
+    local = celled(nodes) if local is None else local
     linked = stored(_linked(local), "linked")
     starts = local.join(tips.select("id"), "id", "left_semi")
     tops = _reached(linked, starts.select(F.col("top").alias("id")).distinct())
@@ -126,7 +130,7 @@ def on_path(nodes: DataFrame, tips: DataFrame) -> DataFrame:
             step = step[step]
         return pa.table({"id": ids[on]})
 
-    marked = plain.join(entries.withColumn("entered", F.lit(1).cast("long")), "id", "left").select(F.expr(f"shiftright(id, {CELL})").alias("cell"), "id", "parent", F.coalesce("entered", F.lit(0).cast("long")).alias("entered"))
+    marked = nodes.select("id", "parent").join(entries.withColumn("entered", F.lit(1).cast("long")), "id", "left").select(F.expr(f"shiftright(id, {CELL})").alias("cell"), "id", "parent", F.coalesce("entered", F.lit(0).cast("long")).alias("entered"))
     return marked.groupBy("cell").applyInArrow(walk, "id long")
 
 

@@ -7,7 +7,7 @@ points meet on cells of the size of the longer one, never by comparing all pairs
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,14 +19,16 @@ CELL = 20
 
 
 def merge(df: DataFrame, keys: Sequence[str] = ("set_id",)) -> DataFrame:
-    """The canonical form: overlapping and adjacent intervals become one."""
-    # one interval per start, so that both orders below are the same
+    """The canonical form: overlapping and adjacent intervals become one.
+
+    An interval that none before it reaches opens an island, and where the next one opens the one before had reached its end.
+    """
     some = df.where("end > start").groupBy(*keys, "start").agg(F.max("end").alias("end"))
     reached = running(some, ["start"], {"_reach": ("max_before", F.col("end"))}, keys, CELL)
-    # an interval that nothing before it reaches opens an island, and the last one opened is the one a row is on
-    opens = F.when(F.col("_reach").isNull() | (F.col("start") > F.col("_reach")), F.col("start"))
-    islands = running(reached.withColumn("_opens", opens), ["start"], {"_last": ("max_before", F.col("_opens"))}, keys, CELL)
-    return islands.groupBy(*keys, F.coalesce("_opens", "_last").alias("_island")).agg(F.max("end").alias("end")).select(*keys, F.col("_island").alias("start"), "end")
+    opens = reached.where(F.col("_reach").isNull() | (F.col("start") > F.col("_reach"))).select(*keys, "start", "_reach")
+    ended = running(opens, ["start"], {"_end": ("min_after", F.col("_reach"))}, keys, CELL)
+    last = some.groupBy(*keys).agg(F.max("end").alias("_last"))
+    return ended.join(last, list(keys)).select(*keys, "start", F.coalesce("_end", "_last").alias("end"))
 
 
 def union(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("set_id",)) -> DataFrame:
@@ -34,26 +36,31 @@ def union(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("set_id",)) -> Data
     return merge(a.select(*cols).unionByName(b.select(*cols)), keys)
 
 
-def _swept(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Elementary intervals of both sets with how many intervals of each cover them."""
+def _swept(a: DataFrame, b: DataFrame, keys: Sequence[str], wanted: Callable[[Column, Column], Column]) -> DataFrame:
+    """What is covered as ``wanted`` says of how many intervals of each set cover it, canonical.
+
+    The borders are summed up along the line; only those at which it begins or ceases to be wanted are kept and paired.
+    """
 
     def ends(df: DataFrame, which: str) -> DataFrame:
         one = lambda at, d: df.select(*keys, F.col(at).alias("at"), F.lit(d if which == "a" else 0).alias("da"), F.lit(d if which == "b" else 0).alias("db"))
         return one("start", 1).unionAll(one("end", -1))
 
     steps = ends(a, "a").unionAll(ends(b, "b")).groupBy(*keys, "at").agg(F.sum("da").alias("da"), F.sum("db").alias("db"))
-    made = {"end": ("min_after", F.col("at")), "in_a": ("sum", F.col("da")), "in_b": ("sum", F.col("db"))}
-    return running(steps, ["at"], made, keys, CELL).where("end is not null").select(*keys, F.col("at").alias("start"), "end", "in_a", "in_b")
+    swept = running(steps, ["at"], {"in_a": ("sum", F.col("da")), "in_b": ("sum", F.col("db"))}, keys, CELL)
+    now, before = wanted(F.col("in_a"), F.col("in_b")), wanted(F.col("in_a") - F.col("da"), F.col("in_b") - F.col("db"))
+    turns = swept.where(now != before).select(*keys, "at", now.alias("opens"))
+    return running(turns, ["at"], {"end": ("min_after", F.col("at"))}, keys, CELL).where("opens").select(*keys, F.col("at").alias("start"), "end")
 
 
 def subtract(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("set_id",)) -> DataFrame:
     """What ``a`` covers and ``b`` doesn't, canonical."""
-    return merge(_swept(a, b, keys).where("in_a > 0 and in_b = 0"), keys)
+    return _swept(a, b, keys, lambda in_a, in_b: (in_a > 0) & (in_b <= 0))
 
 
 def intersect(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("set_id",)) -> DataFrame:
     """What both cover, canonical."""
-    return merge(_swept(a, b, keys).where("in_a > 0 and in_b > 0"), keys)
+    return _swept(a, b, keys, lambda in_a, in_b: (in_a > 0) & (in_b > 0))
 
 
 def replayed(ops: DataFrame, keys: Sequence[str], seq: str, adds: str) -> DataFrame:
@@ -114,14 +121,14 @@ def _buckets(df: DataFrame, size: int) -> DataFrame:
     return df.withColumn("_bucket", F.explode(F.sequence(F.expr(f"start div {size}"), F.expr(f"(end - 1) div {size}"))))
 
 
-#: The least power of two that an interval fits into; it touches two cells of that size at most.
-_LEVEL = "length(bin(end - start - 1))"
+#: The least power of eight that an interval fits into, as one of two; it touches two cells of that size at most.
+_LEVEL = "(length(bin(end - start - 1)) + 2) div 3 * 3"
 
 
 def _guests(df: DataFrame, levels: DataFrame, own: Column, above: bool, first: str, last: str) -> DataFrame:
     """``df`` dealt out to the cells that it touches at each of ``levels`` (one row with an array) from its own on."""
     higher = F.filter("_levels", lambda x: x > own if above else x >= own)
-    spread = df.crossJoin(F.broadcast(levels)).withColumn("_level", F.explode(higher)).drop("_levels")  # at most 64 levels
+    spread = df.crossJoin(F.broadcast(levels)).withColumn("_level", F.explode(higher)).drop("_levels")  # at most 22 levels
     return spread.withColumn("_at", F.explode(F.sequence(F.expr(f"shiftright({first}, _level)"), F.expr(f"shiftright({last}, _level)"))))
 
 

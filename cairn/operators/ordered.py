@@ -14,26 +14,22 @@ CELL, GROUP = 12, 12
 _KINDS = {"sum": F.sum, "min": F.min, "max_before": F.max, "min_after": F.min}
 
 
-def _carried(cells: DataFrame, keys: Sequence[str], kinds: dict[str, str]) -> DataFrame:
-    """Per cell what the cells before it (for ``min_after``: after it) come to, taken over groups of cells first."""
-    grouped = cells.withColumn("_group", F.expr(f"shiftright(_cell, {GROUP})"))
-    tops = grouped.groupBy(*keys, "_group").agg(*[_KINDS[k](n).alias(n) for n, k in kinds.items()])
+def _accumulated(rows: DataFrame, carried: DataFrame | None, part: Sequence[str], order: Sequence[str], kinds: dict[str, str], whole: bool) -> DataFrame:
+    """``rows`` with their figures by ``order`` within ``part``, each over the values ``_of_`` its name.
 
-    def over(n: str, k: str, part: list[str], by: str) -> Column:
-        # what comes after is walked backwards, so that its frame grows row by row as well
-        first = F.desc(by) if k == "min_after" else F.col(by)
-        return _KINDS[k](n).over(W.partitionBy(*part).orderBy(first).rowsBetween(W.unboundedPreceding, -1))
-
-    tops = tops.select(*keys, "_group", *[over(n, k, list(keys), "_group").alias(f"_top_{n}") for n, k in kinds.items()])
-    inner = grouped.select(*keys, "_group", "_cell", *[over(n, k, [*keys, "_group"], "_cell").alias(n) for n, k in kinds.items()])
-    both = inner.join(tops, [*keys, "_group"])
+    What is carried to a part, a row of such values, stands before its rows. ``whole`` lets sums and minima take in the row itself. What comes
+    after a row is walked backwards, so that every frame grows row by row.
+    """
+    both = rows.withColumn("_lead", F.lit(1))
+    if carried is not None:
+        both = both.unionByName(carried.withColumn("_lead", F.lit(0)), allowMissingColumns=True)
 
-    def put_together(n: str, k: str) -> Column:
-        if k == "sum":
-            return F.coalesce(F.col(n), F.lit(0)) + F.coalesce(F.col(f"_top_{n}"), F.lit(0))
-        return F.greatest(n, f"_top_{n}") if k == "max_before" else F.least(n, f"_top_{n}")
+    def figure(n: str, k: str) -> Column:
+        by = [F.desc(c) if k == "min_after" else F.col(c) for c in order]
+        upto = 0 if whole and k in ("sum", "min") else -1
+        return _KINDS[k](f"_of_{n}").over(W.partitionBy(*part).orderBy("_lead", *by).rowsBetween(W.unboundedPreceding, upto))
 
-    return both.select(*keys, "_cell", *[put_together(n, k).alias(f"_carry_{n}") for n, k in kinds.items()])
+    return both.withColumns({n: figure(n, k) for n, k in kinds.items()}).where("_lead = 1").drop("_lead")
 
 
 def running(df: DataFrame, order: Sequence[str], made: dict[str, tuple[str, Column]], keys: Sequence[str] = (), cell: int = CELL) -> DataFrame:
@@ -44,23 +40,14 @@ def running(df: DataFrame, order: Sequence[str], made: dict[str, tuple[str, Colu
     those meet within groups of cells, so that no task sees all rows of a key. Null keys aren't allowed.
     """
     kinds = {n: k for n, (k, _) in made.items()}
+    values = [_KINDS[k](f"_of_{n}").alias(f"_of_{n}") for n, k in kinds.items()]
+    carry = lambda d, *by: d.select(*keys, *by, *[F.col(n).alias(f"_of_{n}") for n in kinds])
     valued = df.withColumns({"_cell": F.expr(f"shiftright({order[0]}, {cell})"), **{f"_of_{n}": c for n, (_, c) in made.items()}})
-    cells = valued.groupBy(*keys, "_cell").agg(*[_KINDS[k](f"_of_{n}").alias(n) for n, k in kinds.items()])
-    joined = valued.join(_carried(cells, keys, kinds), [*keys, "_cell"])
-    w = W.partitionBy(*keys, "_cell")
-    up, down = w.orderBy(*order), w.orderBy(*[F.desc(c) for c in order])
-
-    def figure(n: str, k: str) -> Column:
-        here, carry = F.col(f"_of_{n}"), F.col(f"_carry_{n}")
-        if k == "sum":
-            return F.sum(here).over(up.rowsBetween(W.unboundedPreceding, 0)) + carry
-        if k == "min":
-            return F.least(F.min(here).over(up.rowsBetween(W.unboundedPreceding, 0)), carry)
-        if k == "max_before":
-            return F.greatest(F.max(here).over(up.rowsBetween(W.unboundedPreceding, -1)), carry)
-        return F.least(F.min(here).over(down.rowsBetween(W.unboundedPreceding, -1)), carry)
-
-    return joined.withColumns({n: figure(n, k) for n, k in kinds.items()}).select(*df.columns, *kinds)
+    cells = valued.groupBy(*keys, "_cell").agg(*values).withColumn("_group", F.expr(f"shiftright(_cell, {GROUP})"))
+    groups = cells.groupBy(*keys, "_group").agg(*values)
+    to_group = carry(_accumulated(groups, None, keys, ["_group"], kinds, False), "_group")
+    to_cell = carry(_accumulated(cells, to_group, [*keys, "_group"], ["_cell"], kinds, False), "_cell")
+    return _accumulated(valued, to_cell, [*keys, "_cell"], order, kinds, True).select(*df.columns, *kinds)
 
 
 def running_sum(df: DataFrame, order: str, value: str, name: str) -> DataFrame:

@@ -21,10 +21,12 @@ _OFF = "off_ AS (SELECT * FROM forks WHERE height NOT IN (SELECT height FROM wal
 
 
 def dag(spark: Spark, sf_dir: str) -> DataFrame:
-    """The blocks with ``total``, their cumulative difficulty, stored."""
+    """The blocks with ``total``, their cumulative difficulty, and how they were ``walked`` within their cells, stored."""
     nodes = views.forks(spark, sf_dir).withColumnRenamed("height", "id")
-    totals = graph.ancestors(nodes.select("id", "parent", "diff"), F.col("diff"))
-    return stored(nodes.join(totals.select("id", "depth", "total"), "id"), "dag")
+    local = graph.celled(nodes, F.col("diff"))
+    totals = graph.ancestors(nodes, local=local).select("id", "depth", "total")
+    walked = local.select("id", F.struct("top", "exit", "depth", "sum", "own").alias("walked"))
+    return stored(nodes.join(totals, "id").join(walked, "id"), "dag")
 
 
 def heaviest(blocks: DataFrame) -> DataFrame:
@@ -34,7 +36,7 @@ def heaviest(blocks: DataFrame) -> DataFrame:
 
 def path(blocks: DataFrame) -> DataFrame:
     """``id`` of the blocks on the heaviest chain."""
-    return graph.on_path(blocks.select("id", "parent"), heaviest(blocks).select("id"))
+    return graph.on_path(blocks, heaviest(blocks).select("id"), blocks.select("id", "walked.*"))
 
 
 def branches(spark: Spark, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -155,7 +157,7 @@ def _two_chains(spark: Spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     blocks = dag(spark, sf_dir)
     on = stored(path(blocks), "path")
     side = blocks.join(on, "id", "left_anti").agg(F.max("id").alias("id")).where("id is not null")
-    return on, stored(graph.on_path(blocks.select("id", "parent"), side), "old")
+    return on, stored(graph.on_path(blocks, side, blocks.select("id", "walked.*")), "old")
 
 
 @query(f"{sql('forks')}, {_OLD} SELECT max(height) AS last_common FROM walk WHERE height IN (SELECT height FROM olds)")

@@ -197,7 +197,7 @@ def stream_webhook_retry(spark: Spark, sf_dir: str) -> DataFrame:
 def sample_report(spark: Spark, sf_dir: str) -> DataFrame:
     """A sample without replacement of offsets at which a chunk is recorded, and how many chunks are sound."""
     probes = table(spark, sf_dir, "orders").select((F.col("o_orderkey") * 10 + 5).alias("p"), (F.col("o_custkey") % 9 != 0).alias("sound")).distinct()
-    held = intervals.containing(probes, "p", intervals.merge(views.sync_record(spark, sf_dir))).select("p", "sound").distinct()
+    held = intervals.containing(probes, "p", views.merged_record(spark, sf_dir)).select("p", "sound").distinct()
     picked = held.orderBy(F.md5(F.concat(F.lit("s"), F.col("p").cast("string")).cast("binary")), "p").limit(200)
     good = F.count_if("sound")
     return picked.agg(F.count(F.lit(1)).alias("sampled"), good.alias("good"), F.round(100.0 * good / F.count(F.lit(1)), 6).alias("percent"))

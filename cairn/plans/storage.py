@@ -143,7 +143,7 @@ def interval_measure(spark: Spark, sf_dir: str) -> DataFrame:
 
 @query(f"""{sql("rec", "black", "merged")} SELECT set_id, m."start" AS "start", m."end" AS "end", b."start" AS b_start, b."end" AS b_end FROM merged m JOIN black b ON m."start" < b."end" AND b."start" < m."end" """)
 def interval_overlap_join(spark: Spark, sf_dir: str) -> DataFrame:
-    return intervals.overlap_join(intervals.merge(views.sync_record(spark, sf_dir)), views.blacklist(spark, sf_dir))
+    return intervals.overlap_join(views.merged_record(spark, sf_dir), views.blacklist(spark, sf_dir))
 
 
 def _halves(spark: Spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -231,7 +231,7 @@ def interval_overlap_size(spark: Spark, sf_dir: str) -> DataFrame:
 @query(f"""{sql('rec', 'merged')}, probes AS (SELECT o_orderkey, o_orderkey * 10 + 5 AS p FROM orders) SELECT o_orderkey, count(*) AS stores FROM probes JOIN merged ON "start" < p AND p <= "end" GROUP BY 1""")
 def point_in_interval(spark: Spark, sf_dir: str) -> DataFrame:
     probes = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") * 10 + 5).alias("p"))
-    return intervals.containing(probes, "p", intervals.merge(views.sync_record(spark, sf_dir))).groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("stores"))
+    return intervals.containing(probes, "p", views.merged_record(spark, sf_dir)).groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("stores"))
 
 
 @query(f"""WITH RECURSIVE {views.SQL["black"].replace("p_size", "p_size * 4")}, m AS (SELECT *, CASE WHEN "start" > max("end") OVER (ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS f FROM black), i AS (SELECT *, sum(f) OVER (ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS g FROM m),

@@ -126,7 +126,7 @@ def data_root_remove(spark: Spark, sf_dir: str) -> DataFrame:
 def recorded_where(spark: Spark, sf_dir: str) -> DataFrame:
     """The store that has a byte: the default one if it does, else the first of those that do; and its packing."""
     probes = table(spark, sf_dir, "orders").select((F.col("o_orderkey") * 10 + 3).alias("p"))
-    found = intervals.containing(probes, "p", intervals.merge(views.sync_record(spark, sf_dir)))
+    found = intervals.containing(probes, "p", views.merged_record(spark, sf_dir))
     best = found.groupBy("p").agg(F.min_by("b_set_id", F.struct(F.col("b_set_id") != 1, "b_set_id")).alias("store"))
     return best.select("p", "store", (F.col("store") % 3).alias("packing"))
 
@@ -135,7 +135,7 @@ def recorded_where(spark: Spark, sf_dir: str) -> DataFrame:
 def recorded_as(spark: Spark, sf_dir: str) -> DataFrame:
     """Whether a byte is stored with the packing wanted, and whether any of some modules has it."""
     probes = table(spark, sf_dir, "orders").select((F.col("o_orderkey") * 10 + 3).alias("p"), (F.col("o_custkey") % 3).alias("want"))
-    found = intervals.containing(probes, "p", intervals.merge(views.sync_record(spark, sf_dir)))
+    found = intervals.containing(probes, "p", views.merged_record(spark, sf_dir))
     seen = found.groupBy("p").agg(F.bool_or(F.col("b_set_id") % 3 == F.col("want")).alias("a"), F.bool_or(F.col("b_set_id").isin(2, 5, 8)).alias("b"))
     return probes.join(seen, "p", "left").select("p", "want", F.coalesce("a", F.lit(False)).alias("recorded"), F.coalesce("b", F.lit(False)).alias("in_modules"))
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.operators.intervals import merge
 from cairn.operators.ordered import running_sum
-from cairn.sources.tables import table
+from cairn.sources.tables import stored, table
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +42,11 @@ def sync_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select(F.col("l_suppkey").alias("set_id"), (F.col("l_orderkey") * 10).alias("start"), (F.col("l_orderkey") * 10 + F.col("l_quantity").cast("long")).alias("end"))
 
 
+def merged_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored ranges merged, and written: joins by level look at them more than once."""
+    return stored(merge(sync_record(spark, sf_dir)), "merged")
+
+
 def blacklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     return p.select((F.col("p_partkey") * 100).alias("start"), (F.col("p_partkey") * 100 + F.col("p_size")).cast("long").alias("end"))
