@@ -15,9 +15,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from cairn.llm import repeats
 from cairn.llm.hashing import bytes_of, in_slices
+from cairn.sources.tables import stored
 
 #: Bytes in a string.
 LENGTH = 50
@@ -50,3 +52,46 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(starts)), pa.array(removed), spans, kept], ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
     return marked.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,length:long>>, kept binary")
+
+
+def doubled_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``doc_id, start`` of every string of ``length`` bytes (8 at least) that also starts in a document with a smaller id.
+
+    Prefix doubling over all positions, as it is dealt: a row per byte of text with the rank of the 8 bytes from there; in each
+    round positions are paired with the ranks at an offset that doubles, the pairs are ranked anew, and positions whose pair is
+    unique are dropped, as all longer strings from there are unique too. The last offset ends at the threshold. It gives what
+    :func:`remove_repeats` is built on, at a cost that a corpus can't bear (figures in the README), and serves to test it. Null ids
+    and texts have no strings.
+    """
+
+    def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in in_slices(batches, 1 << 19):
+            raw, starts = bytes_of(b.column("text"))
+            if len(raw) < 8:
+                continue
+            words = np.ndarray((len(raw) - 7,), np.int64, np.ascontiguousarray(raw), 0, (1,))
+            doc = np.searchsorted(starts, np.arange(len(words)), "right") - 1
+            sound = np.arange(len(words)) + 8 <= starts[doc + 1]
+            ids = b.column("doc_id").to_numpy(zero_copy_only=False)[doc[sound]].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.flatnonzero(sound) - starts[doc[sound]]), pa.array(np.ascontiguousarray(words[sound]))], ["doc_id", "pos", "rank"])
+
+    known = docs.where("doc_id is not null and text is not null").select("doc_id", "text").distinct()
+    at = known.mapInArrow(positions, "doc_id long, pos long, rank long")
+    span = 8
+
+    def shared(rows: DataFrame) -> DataFrame:
+        """Rows of ranks that two documents have."""
+        ranks = rows.groupBy("rank").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("rank")
+        return stored(rows.join(ranks, "rank", "left_semi"), "ranks")
+
+    at = shared(at)
+    while span < length:
+        offset = min(span, length - span)
+        further = at.select("doc_id", (F.col("pos") - offset).alias("pos"), F.col("rank").alias("after"))
+        paired = at.join(further, ["doc_id", "pos"])
+        # equal pairs get one rank; the sort by pairs deals them out in order
+        ordered = paired.repartitionByRange("rank", "after").sortWithinPartitions("rank", "after")
+        at = shared(ordered.select("doc_id", "pos", F.xxhash64("rank", "after").alias("rank")))
+        span += offset
+    first = at.groupBy("rank").agg(F.min("doc_id").alias("least"))
+    return at.join(first, "rank").where("doc_id > least").select("doc_id", F.col("pos").alias("start")).distinct()

@@ -131,3 +131,15 @@ def test_labels_of_held_out_rows_are_not_learned(spark, tmp_path):
     for name in ("op8_language_id", "op10_toxicity"):
         rows = [sorted(map(str, queries.QUERIES[name](spark, sf).collect())) for sf in (MEDIUM, str(tmp_path))]
         assert rows[0] == rows[1]
+
+
+def test_prefix_doubling(spark):
+    """The method as dealt, over all positions, covers the bytes that the operator removes."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("doc_id < 60").select("doc_id", "text")
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    gone = {i: np.zeros(len(t), bool) for i, t in texts.items()}
+    for r in suffix_dedup.doubled_repeats(docs).collect():
+        gone[r["doc_id"]][r["start"] : r["start"] + 50] = True
+    want = {i: int(g.sum()) for i, _, g in removed(list(texts.items()), 50)}
+    assert {i: int(g.sum()) for i, g in gone.items()} == want and any(want.values())
+    assert {r["doc_id"]: r["n_removed"] for r in suffix_dedup.remove_repeats(docs).collect()} == want
