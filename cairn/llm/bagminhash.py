@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.hashing import in_slices, mix, shingles, words_in
+from cairn.llm.spreading import with_figures
 from cairn.sources.tables import stored
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -38,8 +39,6 @@ PER_PART, BLOCK = 200, 512
 PAIRED = 4096
 #: Bytes of texts that are worked through at once.
 SLICE = 1 << 21
-#: A class of more than one in so many documents is hot; there are fewer than this of them.
-HOT = 1_000
 #: Slack of the bounds that leave pairs out, against rounding.
 SLACK = 1e-9
 
@@ -236,7 +235,7 @@ def _finished(told: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
     fits &= (F.col("size") >= (similarity - SLACK) * F.col("short")) & ((similarity - SLACK) * F.col("size") <= F.col("long"))
     near = stored(told.join(spans, "key").where(F.col("other") | fits).select(*told.columns), "open")
     counts = near.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if("other").alias("n_other")).where("n > 1")
-    near = near.join(counts, "key")
+    near = with_figures(near, counts, ["key"])
     few = near.where(F.col("n") * F.col("n_other") <= PAIRED).drop("n", "n_other")
     a = few.where("other").select("key", *[F.col(c).alias(f"a_{c}") for c in ("member", "similarity", "size", "class")])
     met = a.join(few, "key").where((F.col("a_class") != F.col("class")) & (~F.col("other") | (F.col("a_member") < F.col("member"))))
@@ -280,7 +279,7 @@ def near_links(docs: DataFrame, only: DataFrame, shingle: int = SHINGLE, similar
     keyed = stored(_banded(docs, shingle, bands, rows).join(only, ["doc_id", "sha"], "left_semi"), "bands")
     each = keyed.select(F.col("doc_id").alias("member"), F.explode("keys").alias("key"))
     shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = each.join(shared, "key")
+    met = with_figures(each, shared, ["key"])
     score = met.groupBy("member").agg(F.sum("n").alias("score"))
     open_ = stored(met.select("key", "member").join(score, "member"), "members")
     candidates = open_.select(F.col("member").alias("doc_id")).distinct().join(only, "doc_id")
@@ -318,11 +317,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     tied = ids.where("first <> doc_id").join(firsts.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
     found = components(links.unionAll(tied))
     classed = stored(ids.join(found, F.col("first") == F.col("node"), "left").select("doc_id", F.coalesce("component", "first").alias("class_id")), "classes")
-    sizes = classed.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
-    total = F.broadcast(classed.agg(F.count(F.lit(1)).alias("total")))  # one row
-    sizes = stored(sizes.crossJoin(total).select("class_id", "class_size", (F.col("class_size") * HOT > F.col("total")).alias("hot")), "sizes")
     # members of a hot class don't meet in one task
-    hot = F.broadcast(sizes.where("hot").drop("hot"))
-    sized = classed.join(hot, "class_id").unionAll(classed.join(hot.select("class_id"), "class_id", "left_anti").join(sizes.where("not hot").drop("hot"), "class_id"))
+    sized = with_figures(classed, classed.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size")), ["class_id"], "class_size")
     none = docs.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
     return sized.select("doc_id", "class_id", "class_size").unionAll(none)

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.hashing import _INVERSES, _POWERS, PIECE, in_slices, mix
+from cairn.llm.spreading import with_figures
 from cairn.sources.tables import stored
 
 #: Gives the symbols of a column of texts, one text after the other, and where each text's start; the last entry is the end.
@@ -234,10 +235,10 @@ def marked_windows(docs: DataFrame, symbols: Symbols, shape: Shape) -> DataFrame
     # one narrow row a seed, or a seed and body: hashed rather than sorted along with all bundles
     spread = stored(rows.groupBy("seed").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("seed"), "seeds")
     shared = stored(rows.join(spread.hint("shuffle_hash"), "seed"), "shared")
-    variants = stored(shared.groupBy("seed", "body").agg(F.min("doc").alias("first"), F.max("doc").alias("hi")), "variants")
+    variants = stored(shared.groupBy("seed", "body").agg(F.min("doc").alias("first"), F.max("doc").alias("hi"), F.count(F.lit(1)).alias("n")), "variants")
     # equal bundles: all but the least document's are repeated throughout
-    twice = variants.where("first < hi").select("seed", "body", "first").hint("shuffle_hash")
-    whole = shared.join(twice, ["seed", "body"]).where("doc > first").select("doc", "seed", "body", F.lit(-1).cast("long").alias("bits"))
+    twice = variants.where("first < hi").select("seed", "body", "first", "n")
+    whole = with_figures(shared, twice, ["seed", "body"], how="shuffle_hash").where("doc > first").select("doc", "seed", "body", F.lit(-1).cast("long").alias("bits"))
     # different bundles of one seed: their windows, each bundle shown by its least document
     several = variants.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed", (F.col("n") > TOGETHER).alias("many"))
     mixed = variants.join(several, "seed").select(F.col("first").alias("doc_id"), "seed", "body", "many")
