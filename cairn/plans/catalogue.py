@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairn.plans import chain, economy, forks, ledger, live, more, proofs, storage, streams, sync  # noqa: F401  these register their queries
+from cairn.plans import chain, economy, forks, ledger, live, more, proofs, records, storage, streams, sync  # noqa: F401  these register their queries
 from cairn.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
