@@ -80,14 +80,17 @@ def remove(spark: SparkSession, paths: Iterable[str]) -> None:
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
     """Gives a :func:`stored` for results; all other tables stored meanwhile go when the block is left.
 
-    For work whose results are stored before it ends: a query that is still to be run needs its tables.
+    For work whose results are stored before it ends: a query that is still to be run needs its tables. Results of a block within
+    another one are tables of the outer one.
     """
-    held: list[str] = []
+    outer, held = _SCRATCH.get(), []
     token = _SCRATCH.set(held)
 
     def keep(df: DataFrame, name: str) -> DataFrame:
         out = stored(df, name)
-        held.pop()
+        path = held.pop()
+        if outer is not None:
+            outer.append(path)
         return out
 
     try:
