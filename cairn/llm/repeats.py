@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from cairn.llm.hashing import _INVERSES, _POWERS, PIECE, in_slices, mix
 from cairn.llm.spreading import with_figures
-from cairn.sources.tables import stored
+from cairn.sources.tables import scratch, stored
 
 #: Gives the symbols of a column of texts, one text after the other, and where each text's start; the last entry is the end.
 Symbols = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
@@ -217,20 +217,8 @@ def sharing(docs: DataFrame, symbols: Symbols, shape: Shape) -> DataFrame:
     return rows.join(spread, "seed", "left_semi").select(F.col("doc").alias("doc_id")).distinct()
 
 
-def marked_windows(docs: DataFrame, symbols: Symbols, shape: Shape) -> DataFrame:
-    """``docs`` (no null ids) with ``marks``, bundles with repeated windows and which, as bits, and ``whole``,
-    whether a smaller id has the whole text, so that all windows are repeated.
-
-    Marks name their bundles by content, so they hold wherever a document of this id has it.
-    """
-    digest = F.sha2(F.col("text").cast("binary"), 256)
-    texts = docs.where("text is not null").select("doc_id", "text", digest.alias("digest"))
-    # copies of a text say nothing that the least document doesn't: it alone is looked into
-    owners = stored(texts.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("hi")), "owners")
-    copies = texts.select("doc_id", "digest").join(owners.where("owner < hi"), "digest").where("doc_id > owner")
-    copies = copies.groupBy("doc_id").agg(F.collect_set("digest").alias("copied"))
-    texts = texts.join(owners.select("digest", F.col("owner").alias("doc_id")), ["doc_id", "digest"], "left_semi").select("doc_id", "text")
-
+def _marks(texts: DataFrame, symbols: Symbols, shape: Shape) -> DataFrame:
+    """``doc_id, marks``: of each text's bundles those with windows that a smaller id has too, and which, as bits."""
     rows = _bundle_rows(texts, symbols, shape)
     # one narrow row a seed, or a seed and body: hashed rather than sorted along with all bundles
     spread = stored(rows.groupBy("seed").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("seed"), "seeds")
@@ -252,7 +240,26 @@ def marked_windows(docs: DataFrame, symbols: Symbols, shape: Shape) -> DataFrame
     first = windows.groupBy("seed", "name").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("seed", "name", "first")
     part = windows.join(stored(first, "firsts"), ["seed", "name"]).where("doc > first")
     part = part.groupBy("doc", "seed", "body").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("bits"))
-    marks = whole.unionAll(few).unionAll(part).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("seed", "body", "bits")).alias("marks"))
+    return whole.unionAll(few).unionAll(part).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("seed", "body", "bits")).alias("marks"))
+
+
+def marked_windows(docs: DataFrame, symbols: Symbols, shape: Shape) -> DataFrame:
+    """``docs`` (no null ids) with ``marks``, bundles with repeated windows and which, as bits, and ``whole``,
+    whether a smaller id has the whole text, so that all windows are repeated.
+
+    Marks name their bundles by content, so they hold wherever a document of this id has it.
+    """
+    digest = F.sha2(F.col("text").cast("binary"), 256)
+    texts = docs.where("text is not null").select("doc_id", "text", digest.alias("digest"))
+    # copies of a text say nothing that the least document doesn't: it alone is looked into
+    owners = stored(texts.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("hi")), "owners")
+    copies = texts.select("doc_id", "digest").join(owners.where("owner < hi"), "digest").where("doc_id > owner")
+    copies = copies.groupBy("doc_id").agg(F.collect_set("digest").alias("copied"))
+    texts = texts.join(owners.select("digest", F.col("owner").alias("doc_id")), ["doc_id", "digest"], "left_semi").select("doc_id", "text")
+
+    # once the marks are written, nothing that led to them is needed
+    with scratch(docs.sparkSession) as keep:
+        marks = keep(_marks(texts, symbols, shape), "marks")
     whole_copy = F.when(F.col("copied").isNotNull(), F.array_contains("copied", digest))
     return docs.join(marks, "doc_id", "left").join(copies, "doc_id", "left").withColumn("whole", whole_copy).drop("copied")
 
