@@ -62,7 +62,8 @@ def moving_average(events: DataFrame) -> DataFrame:
 def limited(events: DataFrame, span_us: int, most: int) -> DataFrame:
     """``event_id, peer, allowed``: a sliding-window limiter whose state is the times within the window.
 
-    A peer that stays idle for a window, by the watermark of ``ts``, is forgotten. Batches are taken to come in order of time.
+    A peer that stays idle for a window, by the watermark of ``ts``, is forgotten. Events come in order of time from batch to batch;
+    one that is more than an hour late has no answer.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
