@@ -389,3 +389,20 @@ def test_long_texts():
     for text in ("x" * 600_000 + " y z", "é " * 300_000):
         words = hashing.words_of(text)
         assert len(words) == len(text.split()) and len(np.unique(words)) == len(set(text.split()))
+
+
+def test_classifiers_on_very_long_texts(spark):
+    """A text of more bytes than are hashed at once, and toxic words at the end of a long one."""
+    rng = random.Random(17)
+    make = lambda parts, n: " ".join("".join(rng.choice(parts) for _ in range(3)) for _ in range(n))
+    kinds = {"aa": ["ka", "to", "mi", "ru"], "bb": ["sch", "ein", "ung", "ver"]}
+    model = language_id.fit(docs(spark, [(i, make(kinds[k], 60), k, "s") for i, k in enumerate(["aa", "bb"] * 20)]).withColumnRenamed("doc_id", "key"))
+    long = make(kinds["bb"], 120_000)
+    assert len(long) > language_id.BLOCK
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs(spark, [(1, long, None, None), (2, long, None, None), (3, "½ ② Ⅷ", None, None), (4, "1 !" * 500_000, None, None)]), model).collect()}
+    assert got == {1: "bb", 2: "bb", 3: "und", 4: "und"}
+    bad = ["gruntok", "blarfen", "snikwit"]
+    rows = [(i, " ".join([prose(rng, 100), *([rng.choice(bad) for _ in range(6)] if i % 3 == 0 else []), prose(rng, 20)])) for i in range(240)]
+    distance = toxicity.fit(spark.createDataFrame(rows, "key long, text string"), spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(240)], "key long, toxic int"))
+    texts = [(1, prose(rng, 150_000) + " " + " ".join(bad * 3)), (2, prose(rng, 150_000))]
+    assert {r["doc_id"]: r["predicted"] for r in toxicity.score(spark.createDataFrame(texts, "doc_id long, text string"), distance).collect()} == {1: 1, 2: 0}
