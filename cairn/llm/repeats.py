@@ -253,9 +253,10 @@ def marked_windows(docs: DataFrame, symbols: Symbols, shape: Shape) -> DataFrame
     texts = docs.where("text is not null").select("doc_id", "text", digest.alias("digest"))
     # copies of a text say nothing that the least document doesn't: it alone is looked into
     owners = stored(texts.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("hi")), "owners")
-    copies = texts.select("doc_id", "digest").join(owners.where("owner < hi"), "digest").where("doc_id > owner")
+    copies = stored(texts.select("doc_id", "digest").join(owners.where("owner < hi"), "digest").where("doc_id > owner").select("doc_id", "digest").distinct(), "copies")
+    # a written table of known size: if it is small, Spark broadcasts it and texts stay where they are
+    texts = texts.join(copies, ["doc_id", "digest"], "left_anti").select("doc_id", "text")
     copies = copies.groupBy("doc_id").agg(F.collect_set("digest").alias("copied"))
-    texts = texts.join(owners.select("digest", F.col("owner").alias("doc_id")), ["doc_id", "digest"], "left_semi").select("doc_id", "text")
 
     # once the marks are written, nothing that led to them is needed
     with scratch(docs.sparkSession) as keep:
